@@ -324,15 +324,29 @@ def search_customers(customers: DataFrame, q: str, limit: int | None = 20) -> Da
     return page(customers.filter(hit).select(*columns), [F.asc("customer_id")], limit)
 
 
+def _grams(text: Column) -> Column:
+    """All substrings of one to three characters, and the empty one."""
+    spots = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    parts = [F.transform(spots, lambda i, n=n: F.substring(text, i, F.lit(n))) for n in (1, 2, 3)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *parts))
+
+
+def _anchor(pattern: Column) -> Column:
+    """The last one to three characters of the longest part of a LIKE pattern without wildcards."""
+    parts = F.split(pattern, r"[%_\\\\]")
+    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    return F.right(longest, F.lit(3))
+
+
 def resolve_targets(queries: DataFrame, customers: DataFrame, flags: DataFrame) -> DataFrame:
     """Resolve search texts in bulk: customer id, else newest alert of a payment, else part of a name.
 
-    Both keyed matches are equi joins. Only texts left over go to the name search, which compares texts
-    with customers by ``ILIKE``; it reduces to one customer per text on each side of the shuffle.
+    All three matches are equi joins. For the name search, customers are looked up by short substrings
+    and the hits are then checked with ``ILIKE``, so no text is compared with every customer.
     """
     asked = queries.select("q", F.trim("q").alias("sid")).filter(F.col("sid") != "").distinct()
     by_id = (
-        asked.filter(F.upper("sid").startswith("CUST-"))
+        asked.filter(F.startswith(F.upper("sid"), F.lit("CUST-")))
         .join(customers.select("customer_id"), F.col("sid") == F.col("customer_id"))
         .select("q", "sid", F.lit("customer").alias("mode"), "customer_id")
     )
@@ -343,10 +357,18 @@ def resolve_targets(queries: DataFrame, customers: DataFrame, flags: DataFrame)
     by_alert = left.join(newest, F.col("sid") == F.col("txn_id")).select(
         "q", "sid", F.lit("alert").alias("mode"), "f.customer_id", "txn_id", "f.rule_name"
     )
-    left = left.join(by_alert.select("q"), "q", "left_anti")
-    named = customers.select(F.col("customer_id").alias("found"), "name")
+    left = left.join(by_alert.select("q"), "q", "left_anti").withColumn("gram", _anchor(F.lower("sid")))
+    named = customers.select(
+        F.col("customer_id").alias("found"),
+        "name",
+        F.explode(
+            F.array_union(_grams(F.lower("customer_id")), _grams(F.lower(F.coalesce("name", F.lit("")))))
+        ).alias("gram"),
+    )
+    like = F.expr("name ILIKE concat('%', sid, '%') OR found ILIKE concat('%', sid, '%')")
     by_name = (
-        named.join(left, F.expr("name ILIKE concat('%', sid, '%') OR found ILIKE concat('%', sid, '%')"))
+        named.join(left, "gram")
+        .filter(like)
         .groupBy("q", "sid")
         .agg(F.min("found").alias("customer_id"))
         .withColumn("mode", F.lit("customer"))
