@@ -40,14 +40,20 @@ def bucket_of(col: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), spot)
 
 
+def fixed(col: Column, digits: int) -> Column:
+    """A number with fixed decimals, halves to even, no grouping."""
+    pattern = "0" if digits == 0 else "0." + "0" * digits
+    return F.call_function("format_number", col.cast("double"), F.lit(pattern))
+
+
 def human_bytes(col: Column) -> Column:
     """``512 B``, ``1.5 KB`` … up to petabytes, one decimal place above bytes."""
     size = col.cast("double")
-    text = F.when(size < 1024, F.concat(F.format_string("%.0f", size), F.lit(" B")))
+    text = F.when(size < 1024, F.concat(fixed(size, 0), F.lit(" B")))
     for power, unit in enumerate(["KB", "MB", "GB", "TB"], start=1):
         scaled = size / F.lit(float(1024**power))
-        text = text.when(scaled < 1024, F.concat(F.format_string("%.1f", scaled), F.lit(" " + unit)))
-    petabytes = F.format_string("%.1f", size / F.lit(float(1024**5)))
+        text = text.when(scaled < 1024, F.concat(fixed(scaled, 1), F.lit(" " + unit)))
+    petabytes = fixed(size / F.lit(float(1024**5)), 1)
     return F.when(size.isNull(), F.lit(DASH)).otherwise(
         text.otherwise(F.concat(petabytes, F.lit(" PB")))
     )

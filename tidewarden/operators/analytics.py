@@ -306,11 +306,12 @@ def customer_360(
             for c in ("total_volume", "txn_count")
         ]
     )
+    # A customer without payments or alerts has zeros.
     return (
         customers.join(spend, "customer_id", "left")
         .join(alerts, "customer_id", "left")
         .join(windows, "customer_id", "left")
-        .fillna(0, ["txn_count_30d", "volume_30d", "avg_amount_30d", "flags_30d"])
+        .fillna(0)
     )
 
 
