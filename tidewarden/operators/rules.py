@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,11 @@ class PaymentRule:
     breached: Column | None = None
 
 
+def _limit(value) -> Column:
+    """A threshold as an exact decimal, so that money columns are compared without a cast."""
+    return F.lit(Decimal(str(value)))
+
+
 def payment_rules(cfg: dict = RULES) -> list[PaymentRule]:
     multi, smurf = cfg["multi_window"], cfg["smurfing"]
     weekly_max = float(multi["weekly_volume_max_eur"])
@@ -57,10 +63,10 @@ def payment_rules(cfg: dict = RULES) -> list[PaymentRule]:
         PaymentRule(
             "weekly_volume", "weekly", F.lit(True),
             F.concat(F.lit("weekly volume "), volume.cast("string"), F.lit(f" EUR exceeds {weekly_max}")),
-            volume > weekly_max,
+            volume > _limit(weekly_max),
         ),
         PaymentRule(
-            "daily_velocity", "daily", amount <= daily_cap,
+            "daily_velocity", "daily", amount <= _limit(daily_cap),
             F.concat(
                 F.lit("daily txn_count "), count.cast("string"),
                 F.lit(f" exceeds {daily_max} (txns <= {daily_cap} EUR)"),
@@ -70,10 +76,10 @@ def payment_rules(cfg: dict = RULES) -> list[PaymentRule]:
         PaymentRule(
             "monthly_peer_anomaly", "monthly", F.lit(True),
             F.concat(F.lit("monthly txn_count "), count.cast("string"), F.lit(f" exceeds peer baseline x{factor}")),
-            count > monthly_max,
+            count > _limit(monthly_max),
         ),
         PaymentRule(
-            "smurfing", "weekly", amount <= small_max,
+            "smurfing", "weekly", amount <= _limit(small_max),
             F.lit(f"weekly activity >= {small_count} with txns under {small_max} EUR"),
             count >= small_count,
         ),
@@ -83,7 +89,7 @@ def payment_rules(cfg: dict = RULES) -> list[PaymentRule]:
             F.concat(F.lit("high-risk country: "), F.col("first_country")),
         ),
         PaymentRule(
-            "high_value", "daily", amount > high_value, F.lit(f"amount_eur exceeds {high_value} EUR"),
+            "high_value", "daily", amount > _limit(high_value), F.lit(f"amount_eur exceeds {high_value} EUR"),
         ),
     ]
 
@@ -181,10 +187,16 @@ def _flag_payment_rules(
     return _as_flags(rows.withColumn("rule_detail", detail), flagged_at)
 
 
-def _flag_dormant(base: DataFrame, customers: DataFrame, cfg: dict, flagged_at: Column) -> DataFrame:
+def _flag_dormant(
+    txns: DataFrame, predicate: Column | None, customers: DataFrame, cfg: dict, flagged_at: Column
+) -> DataFrame:
     least = float(cfg[_DORMANT]["min_amount_eur"])
     dormant = customers.filter(F.col("customer_status") == "dormant").select("customer_id")
-    hits = base.filter(F.col("amount_eur") >= least).join(dormant, "customer_id", "left_semi")
+    # Written on the stored columns, so that the parquet scan can skip row groups.
+    large = (F.col("amount_eur") >= _limit(least)) | (
+        F.col("amount_eur").isNull() & (F.col("amount") >= _limit(least))
+    )
+    hits = _subjects(txns.filter(large), predicate).join(dormant, "customer_id", "left_semi")
     return _as_flags(
         hits.withColumns(
             {
@@ -219,7 +231,7 @@ def _flag_mule(
         F.min("payment").alias("payment"),
     ).filter(F.col("senders") >= least)
     if min_total_eur is not None:
-        receivers = receivers.filter(F.col("total") >= min_total_eur)
+        receivers = receivers.filter(F.col("total") >= _limit(min_total_eur))
     rows = receivers.select(
         F.col("receiver_customer_no").alias("customer_id"),
         F.col("receiver_customer_no").alias("account_id"),
@@ -252,7 +264,7 @@ def evaluate_rules(
     if rules:
         parts.append(_flag_payment_rules(base, metrics, rules, per, at))
     if wanted is None or _DORMANT in wanted:
-        parts.append(_flag_dormant(base, customers, cfg, at))
+        parts.append(_flag_dormant(txns, predicate, customers, cfg, at))
     if wanted is None or _MULE in wanted:
         parts.append(_flag_mule(base, cfg, per, at, mule_min_total_eur))
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["txn_id", "rule_name"])

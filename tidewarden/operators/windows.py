@@ -44,37 +44,57 @@ def daily_facts(txns: DataFrame) -> DataFrame:
     )
 
 
-def roll_up(daily: DataFrame, computed_at) -> DataFrame:
-    """Daily partial sums to one row per sender and window instance.
-
-    Receivers are grouped before they are counted: no distinct list is built for a hot sender.
-    """
-    windows = F.array(
-        *[
-            F.struct(F.lit(w).alias("window_type"), window_start(F.col("day"), w).alias("window_start"))
-            for w in WINDOW_TYPES
-        ]
-    )
-    per_receiver = (
-        daily.select("sender_id", "receiver_id", "volume", "n", F.explode(windows).alias("w"))
-        .groupBy("sender_id", "w.window_type", "w.window_start", "receiver_id")
-        .agg(F.sum("volume").alias("volume"), F.sum("n").alias("n"))
+def _all_windows(ts: Column) -> Column:
+    """One row per window type with the start of the window that holds ``ts``."""
+    return F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(w).alias("window_type"), window_start(ts, w).alias("window_start"))
+                for w in WINDOW_TYPES
+            ]
+        )
     )
+
+
+def _metric_rows(grouped: DataFrame, computed_at) -> DataFrame:
     return (
-        per_receiver.groupBy(F.col("sender_id").alias("customer_id"), "window_type", "window_start")
-        .agg(
-            money(F.sum("volume")).alias("total_volume"),
-            F.sum("n").alias("txn_count"),
-            F.count("receiver_id").alias("distinct_receiver_count"),
-        )
+        grouped.withColumn("total_volume", money(F.col("total_volume")))
         .withColumn("computed_at", as_col(computed_at))
         .select(*METRIC_COLUMNS)
     )
 
 
 def window_metrics(txns: DataFrame, computed_at) -> DataFrame:
-    """Metrics of every window instance that holds a payment of the sender."""
-    return roll_up(daily_facts(txns), computed_at)
+    """Metrics of every window instance that holds a payment of the sender.
+
+    Spark counts the distinct receivers in two steps, grouped by receiver first, so a hot sender is
+    spread over its receivers and no distinct list is built.
+    """
+    grouped = (
+        transfer_facts(txns)
+        .select("sender_id", "receiver_id", "amount_eur", _all_windows(F.col("event_ts")).alias("w"))
+        .groupBy(F.col("sender_id").alias("customer_id"), "w.window_type", "w.window_start")
+        .agg(
+            F.sum("amount_eur").alias("total_volume"),
+            F.count(F.lit(1)).alias("txn_count"),
+            F.count_distinct("receiver_id").alias("distinct_receiver_count"),
+        )
+    )
+    return _metric_rows(grouped, computed_at)
+
+
+def roll_up(daily: DataFrame, computed_at) -> DataFrame:
+    """The same metrics from stored daily sums, without a second look at the payments."""
+    grouped = (
+        daily.select("sender_id", "receiver_id", "volume", "n", _all_windows(F.col("day")).alias("w"))
+        .groupBy(F.col("sender_id").alias("customer_id"), "w.window_type", "w.window_start")
+        .agg(
+            F.sum("volume").alias("total_volume"),
+            F.sum("n").alias("txn_count"),
+            F.count_distinct("receiver_id").alias("distinct_receiver_count"),
+        )
+    )
+    return _metric_rows(grouped, computed_at)
 
 
 def window_metrics_asof(txns: DataFrame, as_of) -> DataFrame:

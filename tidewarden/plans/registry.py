@@ -529,7 +529,7 @@ QUERIES: dict[str, Query] = {
         "txn_id", "txn_category", "txn_type", "branch_id", "sender_branch", "country_code", "currency"
     ),
     "to_eur": _to_eur,
-    "project_txn": lambda w: w.txns,
+    "project_txn": lambda w: w.normalized,
     "scope": lambda w: normalize.scope(w.txns, normalize.synthetic_only()).select("txn_id", "txn_type"),
     "alert_subject": lambda w: w.txns.select("txn_id", normalize.alert_subject().alias("customer_id")),
     "dedupe_txns": _dedupe_txns,

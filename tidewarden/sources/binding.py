@@ -61,19 +61,32 @@ def customers(customer: DataFrame) -> DataFrame:
 
 def payments(events: DataFrame) -> DataFrame:
     """Events as payments in the wire layout, but with exact decimal amounts and a timestamp."""
-    e, u = F.col("event_id"), F.col("user_id")
-    k = F.get_json_object("props", "$.k").cast("int")
-    inbound = F.col("event_type") == "signup"
-    internal = inbound | (k % 4 == 0)
-    receiver_no = F.when(inbound, k % 10).when(k % 4 == 0, k)
-    receiver = _customer_key(receiver_no)
-    base = F.col("value").cast("decimal(18,2)") * F.lit(Decimal(40))
+    # Shared terms are columns of their own, so that they are evaluated once per row.
+    number = F.get_json_object("props", "$.k").cast("int")
+    events = events.select(
+        F.col("event_id").alias("e"),
+        F.col("user_id").alias("u"),
+        F.col("event_type").alias("kind"),
+        "ts",
+        (F.col("value").cast("decimal(18,2)") * F.lit(Decimal(40))).alias("base"),
+        number.alias("k"),
+    ).select(
+        "*",
+        (F.col("kind") == "signup").alias("inbound"),
+        F.when(F.col("kind") == "signup", F.col("k") % 10).when(F.col("k") % 4 == 0, F.col("k")).alias("receiver_no"),
+    ).select(
+        "*",
+        _customer_key(F.col("receiver_no")).alias("receiver"),
+        F.when(~F.col("inbound"), _customer_key(F.col("u"))).alias("sender"),
+        _pick(_COUNTRIES, (F.col("u") + F.when(F.col("e") % 97 == 0, 1).otherwise(0)) % 12).alias("sender_country"),
+        _pick(_COUNTRIES, (F.col("k") + F.when(F.col("e") % 67 == 0, 1).otherwise(0)) % 10).alias("receiver_country"),
+    )
+    e, u, k, base, kind = (F.col(c) for c in ("e", "u", "k", "base", "kind"))
+    inbound, receiver_no, receiver, sender = (F.col(c) for c in ("inbound", "receiver_no", "receiver", "sender"))
+    sender_country, receiver_country = F.col("sender_country"), F.col("receiver_country")
+    internal = receiver_no.isNotNull()
     rate = _pick([FX_TO_EUR[c] for c in _CURRENCIES], k % 5).cast("decimal(9,3)")
     drift = F.when(e % 83 == 0, F.lit(Decimal("1.05"))).otherwise(F.lit(Decimal("1.00")))
-    kind = F.col("event_type")
-    sender = F.when(~inbound, _customer_key(u))
-    sender_country = _pick(_COUNTRIES, (u + F.when(e % 97 == 0, 1).otherwise(0)) % 12)
-    receiver_country = _pick(_COUNTRIES, (k + F.when(e % 67 == 0, 1).otherwise(0)) % 10)
     columns = {
         "txn_id": e.cast("string"),
         "txn_category": F.when(kind == "signup", "Cash").when(kind == "error", "BackOffice").otherwise("Wire"),
