@@ -11,6 +11,7 @@ AS_OF = "TIMESTAMP '2024-01-30 23:59:59'"
 ACQ_AS_OF = "TIMESTAMP '2001-08-02 00:00:00'"
 ONE = "'CUST-0000012'"
 
+_DAY = f"{AS_OF} - INTERVAL 24 HOUR"
 _COUNTRIES = "['DE','TR','FR','NL','AT','BE','IT','ES','PL','CH','RU','KP']"
 
 
@@ -197,10 +198,23 @@ SELECT 'R-' || account_id AS report_id, substr(sha256(account_id), 1, 16) AS acc
        count(*) AS flagged_count, 'earlier report' AS report_text, 'template' AS model_used, 'System' AS filed_by,
        {AS_OF} - INTERVAL 1 DAY AS created_at
 FROM flags WHERE CAST(regexp_replace(account_id, '\\D', '', 'g') AS BIGINT) % 3 = 0 GROUP BY account_id""",
+    "budgeted": f"""
+SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.rule_name ORDER BY alert_priority_score DESC NULLS LAST, ts DESC, txn_id) AS rn,
+    least(h.headroom, h.budget - h.before) AS cap
+  FROM flags f JOIN (
+    SELECT *, coalesce(sum(headroom) OVER (ORDER BY headroom DESC, rule_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM (SELECT p.rule_name, 12 - coalesce(u.n, 0) AS headroom,
+            greatest(0, 100 - (SELECT count(*) FROM flags WHERE flagged_at >= {_DAY} - INTERVAL 3 HOUR AND flagged_at < {_DAY})) AS budget
+          FROM (SELECT DISTINCT rule_name FROM flags WHERE flagged_at >= {_DAY}) p
+          LEFT JOIN (SELECT rule_name, count(*) AS n FROM flags WHERE flagged_at >= {_DAY} - INTERVAL 3 HOUR AND flagged_at < {_DAY} GROUP BY 1) u
+            ON u.rule_name = p.rule_name)
+    WHERE headroom > 0) h ON h.rule_name = f.rule_name
+  WHERE f.flagged_at >= {_DAY})
+WHERE rn <= cap""",
     "archived": f"""
 SELECT f.txn_id AS alert_txn_id, f.rule_name, f.customer_id, f.flagged_at, {AS_OF} AS archived_at, t.txn_id, t.sender_customer_no,
        t.receiver_customer_no, t.amount_eur, t.ts, t.ingested_at AS txn_ingested_at
-FROM flags f JOIN txn t ON f.customer_id = t.sender_customer_no OR f.customer_id = t.receiver_customer_no""",
+FROM budgeted f JOIN txn t ON f.customer_id = t.sender_customer_no OR f.customer_id = t.receiver_customer_no""",
     "spend": f"""
 SELECT sender_id AS customer_id, count(*) AS txn_count_30d, CAST(sum(amount_eur) AS DOUBLE) AS volume_30d,
        CAST(sum(amount_eur) AS DOUBLE) / count(*) AS avg_amount_30d
@@ -298,7 +312,6 @@ def _d(*names: str) -> str:
 
 
 _SINCE30 = f"{AS_OF} - INTERVAL 30 DAY"
-_DAY = f"{AS_OF} - INTERVAL 24 HOUR"
 _FLAG_OUT = (
     f"txn_id, customer_id, account_id, {_d('amount')}, currency, {_d('amount_eur')}, ts, merchant, rule_name, rule_detail, "
     "window_type, ts + INTERVAL 60 SECOND AS flagged_at"
@@ -524,8 +537,8 @@ _BODY: dict[str, str] = {
         "SELECT customer_id, city, district, country_code FROM addr WHERE address_type = 'home' QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY address_id) = 1"
     ),
     "party_join": (
-        "SELECT f.txn_id, f.customer_id, count(*) AS party_txns, CAST(sum(t.amount_eur) AS DOUBLE) AS party_volume FROM flags f "
-        "JOIN txn t ON f.customer_id = t.sender_customer_no OR f.customer_id = t.receiver_customer_no WHERE f.rule_name = 'high_value' GROUP BY 1, 2"
+        "SELECT f.customer_id, t.txn_id AS party_txn_id, CAST(t.amount_eur AS DOUBLE) AS amount_eur FROM (SELECT DISTINCT customer_id FROM flags WHERE rule_name = 'high_value') f "
+        "JOIN txn t ON f.customer_id = t.sender_customer_no OR f.customer_id = t.receiver_customer_no"
     ),
     "for_customers": (
         "SELECT txn_id, sender_customer_no, receiver_customer_no FROM txn WHERE sender_customer_no IN (SELECT customer_id FROM cust WHERE customer_status = 'dormant') "
@@ -568,14 +581,7 @@ _BODY: dict[str, str] = {
     "flag_counts_24h": (
         f"SELECT rule_name, count(*) AS alert_count FROM flags WHERE flagged_at >= {_DAY} GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM flags WHERE flagged_at >= {_DAY}"
     ),
-    "apply_budget": (
-        f"SELECT {_FLAG_OUT}, {_d('alert_priority_score')} FROM (SELECT f.*, row_number() OVER (PARTITION BY f.rule_name ORDER BY alert_priority_score DESC NULLS LAST, ts DESC, txn_id) AS rn, "
-        "least(h.headroom, h.budget - h.before) AS cap FROM flags f JOIN (SELECT *, coalesce(sum(headroom) OVER (ORDER BY headroom DESC, rule_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before "
-        "FROM (SELECT p.rule_name, 12 - coalesce(u.n, 0) AS headroom, greatest(0, 100 - coalesce((SELECT sum(n) FROM (SELECT count(*) AS n FROM flags "
-        f"WHERE flagged_at >= {_DAY} - INTERVAL 3 HOUR AND flagged_at < {_DAY})), 0)) AS budget FROM (SELECT DISTINCT rule_name FROM flags WHERE flagged_at >= {_DAY}) p "
-        f"LEFT JOIN (SELECT rule_name, count(*) AS n FROM flags WHERE flagged_at >= {_DAY} - INTERVAL 3 HOUR AND flagged_at < {_DAY} GROUP BY 1) u ON u.rule_name = p.rule_name) "
-        f"WHERE headroom > 0) h ON h.rule_name = f.rule_name WHERE f.flagged_at >= {_DAY}) WHERE rn <= cap"
-    ),
+    "apply_budget": f"SELECT {_FLAG_OUT}, {_d('alert_priority_score')} FROM budgeted",
     "alert_priority": f"SELECT txn_id, rule_name, customer_id, {_d('alert_priority_score')} FROM flags",
     "backfill_priority": (
         f"SELECT f.txn_id, f.rule_name, CAST({_priority(_OLD_SEVERITY)} AS DOUBLE) AS alert_priority_score FROM flags f LEFT JOIN cust c ON c.customer_id = f.customer_id"
@@ -586,7 +592,7 @@ _BODY: dict[str, str] = {
     ),
     "archive_for": (
         f"SELECT txn_id, rule_name, alert_txn_id, {_d('amount_eur')}, ts FROM archived WHERE (alert_txn_id, rule_name) IN "
-        f"(SELECT (txn_id, rule_name) FROM flags WHERE customer_id = {ONE} ORDER BY flagged_at DESC, txn_id, rule_name LIMIT 1)"
+        "(SELECT (txn_id, rule_name) FROM budgeted ORDER BY flagged_at DESC, txn_id, rule_name LIMIT 1)"
     ),
     "archive_counts": (
         "SELECT alert_txn_id, rule_name, customer_id, count(*) AS archived_txns, min(archived_at) AS first_archived FROM archived GROUP BY 1, 2, 3"

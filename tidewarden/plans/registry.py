@@ -168,12 +168,10 @@ def _missing_addresses(w: Workspace) -> DataFrame:
 
 
 def _party_join(w: Workspace) -> DataFrame:
-    """Payments and volume of the customer of each high-value alert, on either side."""
-    hv = w.flags.filter(F.col("rule_name") == "high_value").select("txn_id", "customer_id")
-    joined = enrich.party_join(hv, w.txns.select("txn_id", "sender_customer_no", "receiver_customer_no", "amount_eur"))
-    return joined.groupBy("txn_id", "customer_id").agg(
-        F.count(F.lit(1)).alias("party_txns"), F.sum("amount_eur").alias("party_volume")
-    ).select("txn_id", "customer_id", "party_txns", F.col("party_volume"))
+    """Payments, on either side, of every customer with a high-value alert."""
+    alerted = w.flags.filter(F.col("rule_name") == "high_value").select("customer_id").distinct()
+    sides = w.txns.select("txn_id", "sender_customer_no", "receiver_customer_no", "amount_eur")
+    return enrich.party_join(alerted, sides).select("customer_id", "party_txn_id", "amount_eur")
 
 
 def _for_customers(w: Workspace) -> DataFrame:
@@ -219,19 +217,6 @@ def _scenario_catalog(w: Workspace) -> DataFrame:
     )
 
 
-def _budget(w: Workspace) -> DataFrame:
-    """The alerts of the last day against those of the three hours before."""
-    day = F.lit(w.as_of).cast("timestamp") - F.expr("INTERVAL 24 HOURS")
-    before = day - F.expr("INTERVAL 3 HOURS")
-    new = w.flags.filter(F.col("flagged_at") >= day)
-    counts = (
-        w.flags.filter((F.col("flagged_at") >= before) & (F.col("flagged_at") < day))
-        .groupBy("rule_name")
-        .agg(F.count(F.lit(1)).alias("alert_count"))
-    )
-    return alerts.apply_budget(new, counts)
-
-
 def _archive(w: Workspace) -> DataFrame:
     return w.archive.select(
         "alert_txn_id", "rule_name", "customer_id", "flagged_at", "archived_at", "txn_id",
@@ -240,14 +225,13 @@ def _archive(w: Workspace) -> DataFrame:
 
 
 def _archive_one(w: Workspace) -> DataFrame:
-    """Archived payments of the customer's newest alert."""
-    newest = latest_per(
-        w.flags.filter(F.col("customer_id") == ONE_CUSTOMER), ["customer_id"],
-        [F.desc("flagged_at"), F.asc("txn_id"), F.asc("rule_name")],
-    ).select(F.col("txn_id").alias("alert_txn_id"), "rule_name")
-    return w.archive.filter(F.col("customer_id") == ONE_CUSTOMER).join(
-        newest, ["alert_txn_id", "rule_name"], "left_semi"
-    ).select("txn_id", "rule_name", "alert_txn_id", "amount_eur", "ts")
+    """Archived payments of the newest budgeted alert."""
+    newest = alerts.page(w.budgeted, alerts.by_newest(), 1).select(
+        F.col("txn_id").alias("alert_txn_id"), "rule_name"
+    )
+    return w.archive.join(newest, ["alert_txn_id", "rule_name"], "left_semi").select(
+        "txn_id", "rule_name", "alert_txn_id", "amount_eur", "ts"
+    )
 
 
 def _record_disposition(w: Workspace) -> DataFrame:
@@ -585,7 +569,7 @@ QUERIES: dict[str, Query] = {
     "rule_coverage": lambda w: rules.rule_coverage(rules.scenario_catalog(w.spark, w.cfg), w.flags, w.as_of),
     # alert lifecycle
     "flag_counts_24h": lambda w: alerts.flag_counts_24h(w.flags, w.as_of),
-    "apply_budget": _budget,
+    "apply_budget": lambda w: w.budgeted,
     "alert_priority": lambda w: alerts.alert_priority(w.evaluated(), w.customers).select(
         "txn_id", "rule_name", "customer_id", "alert_priority_score"
     ),

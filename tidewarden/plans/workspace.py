@@ -105,9 +105,23 @@ class Workspace:
     def reports(self) -> DataFrame:
         return binding.filed_reports(self.flags, self.as_of)
 
+    @cached_property
+    def budgeted(self) -> DataFrame:
+        """The last day's alerts that fit the budget, given those of the three hours before."""
+        day = F.lit(self.as_of).cast("timestamp") - F.expr("INTERVAL 24 HOURS")
+        before = day - F.expr("INTERVAL 3 HOURS")
+        at = F.col("flagged_at")
+        counts = (
+            self.flags.filter((at >= before) & (at < day))
+            .groupBy("rule_name")
+            .agg(F.count(F.lit(1)).alias("alert_count"))
+        )
+        return alerts.apply_budget(self.flags.filter(at >= day), counts)
+
     @cached_property
     def archive(self) -> DataFrame:
-        return alerts.archive(self.flags, self.txns, self.as_of)
+        """Only budgeted alerts are archived: at most the daily cap times one customer's payments."""
+        return alerts.archive(self.budgeted, self.txns, self.as_of)
 
     @cached_property
     def spend(self) -> DataFrame:

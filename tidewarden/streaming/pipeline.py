@@ -93,11 +93,14 @@ class PaymentPipeline:
             "alert_window", alert_window(F.col("window_type"), F.col("ts"))
         )
         raised = read_before(spark, self.path("flags"), batch_id, scored)
-        fresh = scored.join(
-            raised.filter(F.col("rule_name") != "dormant_reactivation").select("customer_id", "rule_name", "alert_window"),
-            ["customer_id", "rule_name", "alert_window"],
-            "left_anti",
-        ).join(raised.select("txn_id", "rule_name"), ["txn_id", "rule_name"], "left_anti")
+        # Only windows and days this batch can touch matter for repeats.
+        same_window = raised.filter(
+            (F.col("rule_name") != "dormant_reactivation") & (F.col("alert_window") >= since)
+        ).select("customer_id", "rule_name", "alert_window")
+        same_txn = raised.filter(F.col("ts") >= F.lit(first_day)).select("txn_id", "rule_name")
+        fresh = scored.join(same_window, ["customer_id", "rule_name", "alert_window"], "left_anti").join(
+            same_txn, ["txn_id", "rule_name"], "left_anti"
+        )
         if self.global_cap is not None and self.rule_cap is not None:
             counts = (
                 raised.filter(F.col("flagged_at") >= hours_before(F.lit(last_ts), 24))
