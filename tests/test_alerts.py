@@ -108,3 +108,22 @@ def test_upsert_and_insert_new(spark):
     new = spark.createDataFrame([("b", 2), ("b", 3), ("c", 1)], "k string, v int")
     assert rows(sinks.upsert(old, new, ["k"], [F.desc("v")])) == [("a", 1), ("b", 3), ("c", 1)]
     assert rows(sinks.insert_new(old, new, ["k"])) == [("c", 1)]
+
+
+def test_alert_lookup(spark, make_txns):
+    txns = make_txns([txn(1, "A", 1, "2024-01-01 10:00", receiver="B")])
+    raised = flag(
+        spark,
+        [(1, "A", "r2", "1", "2024-01-01 00:00", None), (1, "A", "r1", "1", "2024-01-01 00:00", None), (2, "A", "r1", "1", "2024-01-01 00:00", None)],
+    )
+    found = alerts.alert_by_txn(raised, txns, "1").collect()
+    assert [(r.rule_name, r.receiver_id) for r in found] == [("r1", "B")]
+    assert alerts.alert_by_txn(raised, txns, "1", "r2").first().rule_name == "r2"
+    done = spark.createDataFrame(
+        [("1", "r1", "sar_filed", "n", at("2024-01-03 00:00"))],
+        "txn_id string, rule_name string, disposition string, analyst_notes string, created_at timestamp",
+    )
+    assert alerts.alert_disposition(done, "1", "r1").first().disposition == "sar_filed"
+    assert alerts.alert_disposition(done, "1", "r2").count() == 0
+    archived = alerts.archive(raised, txns, "2024-02-01")
+    assert alerts.archive_for(archived, "1", "r2", "A").count() == 1

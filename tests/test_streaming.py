@@ -87,6 +87,16 @@ def test_pipeline_over_several_batches(spark, feed, w, tmp_path):
     assert pipeline.table("archive").select("alert_txn_id", "rule_name", "txn_id").distinct().count() == pipeline.table("archive").count()
 
 
+def test_pipeline_can_take_metrics_from_a_stream(spark, feed, w, tmp_path):
+    measured = queries.run_window_metrics(stream(spark, feed), str(tmp_path / "metrics"), w.as_of, "60 days")
+    pipeline = PaymentPipeline(
+        spark, str(tmp_path / "out"), w.customers, global_cap=None, rule_cap=None, metrics_source=lambda: measured
+    )
+    pipeline.process(w.wire, 0)
+    ours = pipeline.table("flags").select("txn_id", "rule_name")
+    assert rows(ours) == rows(w.evaluated().select("txn_id", "rule_name"))
+
+
 def test_a_repeated_batch_changes_nothing_and_an_empty_one_is_skipped(spark, w, tmp_path):
     pipeline = PaymentPipeline(spark, str(tmp_path), w.customers)
     batch = w.wire.filter(F.col("ts") < "2024-01-10")

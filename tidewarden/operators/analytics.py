@@ -257,7 +257,11 @@ def priority_by_rule(flags: DataFrame, as_of=None) -> DataFrame:
     """Mean priority per rule, all time or over 30 days."""
     df = flags if as_of is None else flags.filter(F.col("flagged_at") >= days_before(as_of, 30))
     return df.groupBy("rule_name").agg(
-        F.round(F.avg("alert_priority_score"), 1).alias("avg_priority"), _rows().alias("alerts")
+        # Ten digits before rounding: ``avg`` of a decimal keeps six, which could round twice.
+        F.round(
+            F.sum("alert_priority_score").cast("decimal(28,10)") / F.count("alert_priority_score"), 1
+        ).alias("avg_priority"),
+        _rows().alias("alerts"),
     )
 
 

@@ -182,7 +182,8 @@ def spend_30d(txns: DataFrame, as_of) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("txn_count_30d"),
             F.coalesce(F.sum("amount_eur"), F.lit(0)).alias("volume_30d"),
-            F.coalesce(F.avg("amount_eur"), F.lit(0)).alias("avg_amount_30d"),
+            # A double quotient: ``avg`` of a decimal would be cut to six digits.
+            F.coalesce(F.sum("amount_eur").cast("double") / F.count("amount_eur"), F.lit(0.0)).alias("avg_amount_30d"),
         )
         .filter(F.col("customer_id").isNotNull())
     )

@@ -637,7 +637,7 @@ _BODY: dict[str, str] = {
     "sar_groups": f"SELECT account_id, account_id_hash, cnt, rules, {_d('max_amount')} FROM groups ORDER BY cnt DESC, account_id LIMIT 20",
     "new_sar_groups": f"SELECT account_id, account_id_hash, cnt, rules, {_d('max_amount')} FROM groups",
     "render_sar": (
-        "SELECT account_id_hash, cnt AS flagged_count, 'SUSPICIOUS ACTIVITY REPORT (MOCK)' || chr(10) || 'Report Date: 2024-01-30T23:59:59+00:00' || chr(10) || "
+        "SELECT 'SAR-' || substr(sha256(account_id_hash || '|2024-01-30T23:59:59+00:00'), 1, 32) AS report_id, account_id_hash, cnt AS flagged_count, 'SUSPICIOUS ACTIVITY REPORT (MOCK)' || chr(10) || 'Report Date: 2024-01-30T23:59:59+00:00' || chr(10) || "
         "'Subject Account (hashed): ' || account_id_hash || chr(10) || chr(10) || 'Summary: ' || cnt || ' transaction(s) flagged under rule(s): ' || replace(rules, ',', ', ') || "
         "'. Maximum observed amount: ' || CAST(max_amount AS VARCHAR) || ' EUR.' || chr(10) || chr(10) || 'Recommendation: Escalate to compliance officer for enhanced due diligence. "
         f"Consider temporary account monitoring and source-of-funds verification.' AS report_text, 'mock' AS model_used, 'System' AS filed_by, {AS_OF} AS created_at FROM groups"

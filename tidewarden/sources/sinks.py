@@ -41,17 +41,16 @@ def overwrite_days(df: DataFrame, path: str, day_of: str = "ts") -> None:
 def upsert(
     existing: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: Sequence[Column]
 ) -> DataFrame:
-    """Keyed upsert: one row per key, an update wins over a stored row, later updates over earlier.
+    """Keyed upsert into a table with unique, non-null keys: an update replaces the stored row.
 
-    ``row_number() = 1`` is trimmed before the shuffle, so a hot key sends one row per task.
+    Of several updates of a key the first in ``order_by`` counts. Stored rows only pass an anti join on
+    the update keys, so a large table is not shuffled for a few updates.
     """
-    both = existing.withColumn("_new", F.lit(0)).unionByName(
-        updates.withColumn("_new", F.lit(1)), allowMissingColumns=True
-    )
-    newest = Window.partitionBy(*keys).orderBy(F.desc("_new"), *order_by)
-    return (
-        both.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn", "_new")
-    )
+    newest = Window.partitionBy(*keys).orderBy(*order_by)
+    # ``row_number() = 1`` is trimmed before the shuffle: a hot key sends one row per task.
+    winners = updates.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
+    kept = existing.join(updates.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(winners, allowMissingColumns=True)
 
 
 def insert_new(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ again as a whole; every write is owned by the batch id, so running twice changes
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,12 @@ def alert_window(window_type: Column, ts: Column) -> Column:
 
 @dataclass
 class PaymentPipeline:
-    """Normalise, store, measure, detect, budget, prioritise and archive one batch of payments."""
+    """Normalise, store, measure, detect, budget, prioritise and archive one batch of payments.
+
+    Metrics are measured from the stored history of the customers in the batch. With ``metrics_source``
+    they come from elsewhere, such as the table a stateful metrics stream keeps; the history is then not
+    read at all, which is the choice for a high payment rate.
+    """
 
     spark: SparkSession
     base: str
@@ -43,6 +49,7 @@ class PaymentPipeline:
     global_cap: int | None = GLOBAL_ALERT_CAP
     rule_cap: int | None = RULE_ALERT_CAP
     predicate: Column | None = None
+    metrics_source: Callable[[], DataFrame] | None = None
     lag: Column = field(default_factory=lambda: F.expr("INTERVAL 60 SECONDS"))
 
     def path(self, table: str) -> str:
@@ -68,23 +75,11 @@ class PaymentPipeline:
         txns = stored.filter(F.col("batch_id") == batch_id).select(*normalize.TXN_COLUMNS)
         first_day, last_ts = txns.agg(F.min(F.to_date("ts")), F.max("ts")).first()
 
-        # History of the affected customers only; the day partitions bound the scan.
-        senders = txns.select(F.coalesce("sender_customer_no", "sender_id").alias("sender_key"))
-        touched = senders.unionByName(
-            txns.select(normalize.alert_subject().alias("sender_key"))
-        ).filter(F.col("sender_key").isNotNull()).distinct()
         since = F.date_sub(F.lit(first_day), HISTORY_DAYS)
-        history = stored.filter(F.col("day") >= since).withColumn(
-            "sender_key", F.coalesce("sender_customer_no", "sender_id")
-        ).join(touched, "sender_key", "left_semi")
-        measured = windows.window_metrics(history, F.lit(last_ts))
-        # Windows that began before the history are incomplete and stay as stored.
-        measured = measured.filter(F.col("window_start") >= since)
-        write_batch(measured, self.path("metrics"), batch_id)
-        current = spark.read.parquet(self.path("metrics")).filter(F.col("batch_id") == batch_id).drop("batch_id")
-
-        behavior = windows.behavior_30d(history, F.lit(last_ts))
-        write_batch(behavior, self.path("behavior"), batch_id)
+        if self.metrics_source is None:
+            current = self._measure(txns, stored, since, last_ts, batch_id)
+        else:
+            current = self.metrics_source().filter(F.col("window_start") >= since)
 
         found = rules.evaluate_rules(
             txns, current, self.customers, cfg, flagged_at=F.col("ts") + self.lag, predicate=self.predicate
@@ -115,6 +110,29 @@ class PaymentPipeline:
             known = stored.select(*normalize.TXN_COLUMNS)
             write_batch(alerts.archive(kept, known, F.lit(last_ts)), self.path("archive"), batch_id)
 
+    def _measure(
+        self, txns: DataFrame, stored: DataFrame, since: Column, last_ts, batch_id: int
+    ) -> DataFrame:
+        """Window metrics and profiles of the customers in the batch, stored under its id."""
+        senders = txns.select(F.coalesce("sender_customer_no", "sender_id").alias("sender_key"))
+        touched = (
+            senders.unionByName(txns.select(normalize.alert_subject().alias("sender_key")))
+            .filter(F.col("sender_key").isNotNull())
+            .distinct()
+        )
+        # The day partitions bound the scan; the few customers of a batch are broadcast if small.
+        history = (
+            stored.filter(F.col("day") >= since)
+            .withColumn("sender_key", F.coalesce("sender_customer_no", "sender_id"))
+            .join(touched, "sender_key", "left_semi")
+        )
+        measured = windows.window_metrics(history, F.lit(last_ts))
+        # Windows that began before the history are incomplete and stay as stored.
+        write_batch(measured.filter(F.col("window_start") >= since), self.path("metrics"), batch_id)
+        write_batch(windows.behavior_30d(history, F.lit(last_ts)), self.path("behavior"), batch_id)
+        stored_metrics = self.spark.read.parquet(self.path("metrics"))
+        return stored_metrics.filter(F.col("batch_id") == batch_id).drop("batch_id")
+
     def run(self, payments: DataFrame, continuous: bool = False) -> StreamingQuery:
         """Start the pipeline on a stream of wire payments."""
         return start(payments, self.process, self.path("checkpoint"), continuous=continuous)
