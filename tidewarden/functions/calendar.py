@@ -33,6 +33,30 @@ def window_start(ts: Column, window_type: str) -> Column:
     raise ValueError(f"unknown window type {window_type!r}")
 
 
+def window_codes(ts: Column) -> Column:
+    """All windows that hold ``ts`` as an array of integers: four times the start day plus the type.
+
+    A compact grouping key for the moment between splitting payments by window and naming the windows.
+    """
+    day = F.unix_date(F.to_date(ts))
+    anchor = F.unix_date(F.lit(BIWEEKLY_ANCHOR).cast("date"))
+    starts = {
+        "daily": day,
+        "weekly": day - F.weekday(F.to_date(ts)),
+        "biweekly": day - F.pmod(day - anchor, F.lit(14)),
+        "monthly": F.unix_date(F.trunc(F.to_date(ts), "month")),
+    }
+    return F.array(*[starts[w] * 4 + i for i, w in enumerate(WINDOW_TYPES)])
+
+
+def code_type(code: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(w) for w in WINDOW_TYPES]), F.pmod(code, F.lit(4)) + 1)
+
+
+def code_start(code: Column) -> Column:
+    return F.date_from_unix_date(F.floor(code / 4).cast("int")).cast("timestamp")
+
+
 def days_before(as_of, days: int) -> Column:
     return as_col(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
 

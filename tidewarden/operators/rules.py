@@ -29,6 +29,7 @@ FLAG_COLUMNS = [
     "rule_name", "rule_detail", "window_type", "flagged_at",
 ]
 
+ANY_PAYMENT = None
 _DORMANT = "dormant_reactivation"
 _MULE = "mule_inbound"
 
@@ -39,7 +40,7 @@ class PaymentRule:
 
     name: str
     window_type: str
-    matches: Column
+    matches: Column | None
     detail: Column
     breached: Column | None = None
 
@@ -61,7 +62,7 @@ def payment_rules(cfg: dict = RULES) -> list[PaymentRule]:
     amount, count, volume = F.col("amount_eur"), F.col("txn_count"), F.col("total_volume")
     return [
         PaymentRule(
-            "weekly_volume", "weekly", F.lit(True),
+            "weekly_volume", "weekly", ANY_PAYMENT,
             F.concat(F.lit("weekly volume "), volume.cast("string"), F.lit(f" EUR exceeds {weekly_max}")),
             volume > _limit(weekly_max),
         ),
@@ -74,7 +75,7 @@ def payment_rules(cfg: dict = RULES) -> list[PaymentRule]:
             count > daily_max,
         ),
         PaymentRule(
-            "monthly_peer_anomaly", "monthly", F.lit(True),
+            "monthly_peer_anomaly", "monthly", ANY_PAYMENT,
             F.concat(F.lit("monthly txn_count "), count.cast("string"), F.lit(f" exceeds peer baseline x{factor}")),
             count > _limit(monthly_max),
         ),
@@ -124,6 +125,11 @@ def _newest_key() -> Column:
     )
 
 
+def _candidates(rules: Sequence[PaymentRule]) -> dict[str, str]:
+    """Column of the newest match per rule; rules that any payment matches share one."""
+    return {r.name: "any_payment" if r.matches is ANY_PAYMENT else r.name for r in rules}
+
+
 def _as_flags(df: DataFrame, flagged_at: Column) -> DataFrame:
     return (
         df.withColumn("merchant", F.lit(None).cast("string"))
@@ -137,8 +143,13 @@ def _flag_payment_rules(
     base: DataFrame, metrics: DataFrame, rules: Sequence[PaymentRule], per: str, flagged_at: Column
 ) -> DataFrame:
     days = [F.date_trunc("day", "ts").alias("day")] if per == "window" else []
+    column = _candidates(rules)
+    matches = {column[r.name]: r.matches for r in rules}
     picks = base.groupBy("customer_id", *days).agg(
-        *[F.min(F.when(r.matches, _newest_key())).alias(r.name) for r in rules]
+        *[
+            F.min(_newest_key() if m is ANY_PAYMENT else F.when(m, _newest_key())).alias(c)
+            for c, m in matches.items()
+        ]
     )
     entries = F.array(
         *[
@@ -150,7 +161,7 @@ def _flag_payment_rules(
                     if per == "window"
                     else F.lit(None).cast("timestamp")
                 ).alias("window_start"),
-                F.col(r.name).alias("payment"),
+                F.col(column[r.name]).alias("payment"),
             )
             for r in rules
         ]

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.functions.calendar import WINDOW_TYPES, as_col, days_before, window_start
+from tidewarden.functions.calendar import (
+    WINDOW_TYPES,
+    as_col,
+    code_start,
+    code_type,
+    days_before,
+    window_codes,
+    window_start,
+)
 from tidewarden.functions.money import money
 
 METRIC_COLUMNS = [
@@ -44,23 +52,16 @@ def daily_facts(txns: DataFrame) -> DataFrame:
     )
 
 
-def _all_windows(ts: Column) -> Column:
-    """One row per window type with the start of the window that holds ``ts``."""
-    return F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(w).alias("window_type"), window_start(ts, w).alias("window_start"))
-                for w in WINDOW_TYPES
-            ]
-        )
-    )
-
-
 def _metric_rows(grouped: DataFrame, computed_at) -> DataFrame:
-    return (
-        grouped.withColumn("total_volume", money(F.col("total_volume")))
-        .withColumn("computed_at", as_col(computed_at))
-        .select(*METRIC_COLUMNS)
+    """Name the windows of (customer_id, code) groups."""
+    return grouped.select(
+        "customer_id",
+        code_type(F.col("code")).alias("window_type"),
+        money(F.col("total_volume")).alias("total_volume"),
+        "txn_count",
+        "distinct_receiver_count",
+        code_start(F.col("code")).alias("window_start"),
+        as_col(computed_at).alias("computed_at"),
     )
 
 
@@ -72,8 +73,8 @@ def window_metrics(txns: DataFrame, computed_at) -> DataFrame:
     """
     grouped = (
         transfer_facts(txns)
-        .select("sender_id", "receiver_id", "amount_eur", _all_windows(F.col("event_ts")).alias("w"))
-        .groupBy(F.col("sender_id").alias("customer_id"), "w.window_type", "w.window_start")
+        .select("sender_id", "receiver_id", "amount_eur", F.explode(window_codes(F.col("event_ts"))).alias("code"))
+        .groupBy(F.col("sender_id").alias("customer_id"), "code")
         .agg(
             F.sum("amount_eur").alias("total_volume"),
             F.count(F.lit(1)).alias("txn_count"),
@@ -86,8 +87,8 @@ def window_metrics(txns: DataFrame, computed_at) -> DataFrame:
 def roll_up(daily: DataFrame, computed_at) -> DataFrame:
     """The same metrics from stored daily sums, without a second look at the payments."""
     grouped = (
-        daily.select("sender_id", "receiver_id", "volume", "n", _all_windows(F.col("day")).alias("w"))
-        .groupBy(F.col("sender_id").alias("customer_id"), "w.window_type", "w.window_start")
+        daily.select("sender_id", "receiver_id", "volume", "n", F.explode(window_codes(F.col("day"))).alias("code"))
+        .groupBy(F.col("sender_id").alias("customer_id"), "code")
         .agg(
             F.sum("volume").alias("total_volume"),
             F.sum("n").alias("txn_count"),
