@@ -61,4 +61,4 @@ def human_bytes(col: Column) -> Column:
 
 def customer_number(col: Column) -> Column:
     """The digits of a customer id as a number."""
-    return F.regexp_replace(col, r"\D", "").cast("bigint")
+    return F.regexp_replace(col, r"\D", "").try_cast("bigint")

@@ -87,7 +87,7 @@ def missing_addresses(customers: DataFrame, addresses: DataFrame) -> DataFrame:
 
 def address_expand(customers: DataFrame) -> DataFrame:
     """One to five addresses per customer; the customer's number fixes count, city and types."""
-    number = F.regexp_replace("customer_id", r"\D", "").cast("bigint")
+    number = F.regexp_replace("customer_id", r"\D", "").try_cast("bigint")
     types = F.array(*[F.lit(t) for t in ADDRESS_TYPES])
     cities = F.array(*[F.lit(c) for c in CITIES])
     return (

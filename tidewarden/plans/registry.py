@@ -60,7 +60,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def _wire_json(w: Workspace) -> DataFrame:
     """Payments as JSON text; every 50th record is cut in half, every 60th lacks its id."""
-    number = F.col("txn_id").cast("bigint")
+    number = F.col("txn_id").try_cast("bigint")
     sent = w.wire.withColumns(
         {
             "number": number,
@@ -111,7 +111,7 @@ def _prune_runs(w: Workspace) -> DataFrame:
 
 def _to_eur(w: Workspace) -> DataFrame:
     """EUR amounts computed for every payment whose id divides by three, kept for the others."""
-    gap = F.when(F.col("txn_id").cast("bigint") % 3 == 0, F.lit(None)).otherwise(F.col("amount_eur"))
+    gap = F.when(F.col("txn_id").try_cast("bigint") % 3 == 0, F.lit(None)).otherwise(F.col("amount_eur"))
     return normalize.to_eur(w.wire.withColumn("amount_eur", gap)).select("txn_id", "amount", "currency", "amount_eur")
 
 
@@ -236,7 +236,7 @@ def _archive_one(w: Workspace) -> DataFrame:
 
 def _record_disposition(w: Workspace) -> DataFrame:
     """Every alert of a payment divisible by ten is decided again a day later."""
-    again = w.dispositions.filter(F.col("txn_id").cast("bigint") % 10 == 0).withColumns(
+    again = w.dispositions.filter(F.col("txn_id").try_cast("bigint") % 10 == 0).withColumns(
         {
             "disposition": F.lit("sar_filed"),
             "analyst_notes": F.lit("second look"),
@@ -285,7 +285,7 @@ def _customer_360(w: Workspace) -> DataFrame:
 def _targets(w: Workspace) -> DataFrame:
     """Search texts out of the tables: customer ids, payment ids and parts of names."""
     ids = w.customers.filter(text.customer_number(F.col("customer_id")) % 50 == 0).select(F.col("customer_id").alias("q"))
-    payments = w.wire.filter(F.col("txn_id").cast("bigint") % 500 == 0).select(F.col("txn_id").alias("q"))
+    payments = w.events.filter(F.col("event_id") % 500 == 0).select(F.col("event_id").cast("string").alias("q"))
     names = w.customers.filter(text.customer_number(F.col("customer_id")) % 70 == 0).select(
         F.right("name", F.lit(5)).alias("q")
     )

@@ -152,7 +152,7 @@ def job_runs(events: DataFrame) -> DataFrame:
 
 
 def dispositions(flags: DataFrame) -> DataFrame:
-    number = F.col("txn_id").cast("bigint")
+    number = F.col("txn_id").try_cast("bigint")
     return flags.filter(number % 5 == 0).select(
         "txn_id",
         "rule_name",
@@ -164,7 +164,7 @@ def dispositions(flags: DataFrame) -> DataFrame:
 
 def filed_reports(flags: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """Reports already filed: one per flagged account whose customer number divides by three."""
-    number = F.regexp_replace("account_id", r"\D", "").cast("bigint")
+    number = F.regexp_replace("account_id", r"\D", "").try_cast("bigint")
     return (
         flags.filter(number % 3 == 0)
         .groupBy("account_id")
