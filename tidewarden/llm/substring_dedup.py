@@ -273,8 +273,8 @@ def _send_windows(found: DataFrame, buckets: int) -> DataFrame:
     return found.mapInArrow(run, _SENT)
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents as (doc, variant, words), and (doc, firsts, found) for their variants.
+def repeated_windows(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The documents as (doc, variant, words, carried), and (doc, firsts, found) for their variants.
 
     ``firsts`` lists the variants that are the first document of their text, ``found`` the starts of the windows
     that occur earlier, by variant.
@@ -282,10 +282,11 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
-    plain = docs.select(doc.alias("doc"), text_bytes(text).alias("words"))
+    carried = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    plain = docs.select(doc.alias("doc"), text_bytes(text).alias("words"), carried.alias("carried"))
     # Rows of one document and text share a rank, and the first of them has it as its row number too.
     by_text = Window.partitionBy("doc").orderBy("words")
-    numbered = plain.select("doc", "words", F.rank().over(by_text).alias("variant"), F.row_number().over(by_text).alias("row"))
+    numbered = plain.select("doc", "words", "carried", F.rank().over(by_text).alias("variant"), F.row_number().over(by_text).alias("row"))
 
     me = F.struct("doc", "variant")
     texts = numbered.select(me.alias("me"), F.sha2("words", 256).alias("digest"))
@@ -301,13 +302,14 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return numbered, first.join(windows, "doc", "full")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, words, n_words, n_removed, kept): one row per row of ``docs``.
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, words, n_words, n_removed, kept, carried): one row per row of ``docs``.
 
-    ``words`` is the text as bytes, ``kept`` joins the words that are left by one space.
+    ``words`` is the text as bytes, ``kept`` joins the words that are left by one space, and ``carried`` is a struct
+    of the columns named in ``carry``, or a constant if there are none.
     """
-    numbered, findings = repeated_windows(docs, doc_id, text)
-    joined = numbered.join(findings, "doc", "left").select("doc", "variant", "words", "firsts", "found")
+    numbered, findings = repeated_windows(docs, doc_id, text, carry)
+    joined = numbered.join(findings, "doc", "left").select("doc", "variant", "words", "firsts", "found", "carried")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -329,10 +331,26 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 if removed[-1]:
                     words = [words[i] for i in np.flatnonzero(~gone)]
                 kept.append(b" ".join(words))
-            columns = [batch.column(0), batch.column(2), pa.array(counts), pa.array(removed), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "words", "n_words", "n_removed", "kept"])
-
-    return joined.mapInArrow(run, "doc bigint, words binary, n_words bigint, n_removed bigint, kept binary")
+            columns = [
+                batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
+                pa.array(kept, pa.binary()), batch.column(5),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "words", "n_words", "n_removed", "kept", "carried"])
+
+    carried = joined.schema["carried"].dataType.simpleString()
+    return joined.mapInArrow(run, f"doc bigint, words binary, n_words bigint, n_removed bigint, kept binary, carried {carried}")
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeats cut from the text; texts that lose nothing, nulls included, stay as they are."""
+    rest = tuple(c for c in docs.columns if c != text)
+    found = dedup(docs.withColumn("_null", F.col(text).isNull()), doc_id, text, (*rest, "_null"))
+    same = F.when(~F.col("carried._null"), F.col("words").cast("string"))
+    out = found.withColumn("_text", F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(same))
+    columns = {c: F.col(f"carried.{c}") for c in rest} | {text: F.col("_text")}
+    if n_chars in docs.columns:
+        columns[n_chars] = F.when(F.col("n_removed") > 0, F.length("_text")).otherwise(F.col(f"carried.{n_chars}")).cast("long")
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def removal(docs: DataFrame) -> DataFrame:
