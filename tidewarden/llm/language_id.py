@@ -97,6 +97,8 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
 def grow_trees(counts: list[tuple[str, bytes, int]], order: int = ORDER, min_seen: int = MIN_SEEN) -> ContextTrees:
     """Context trees of all languages over one list of contexts."""
     languages = sorted({lang for lang, _, _ in counts})
+    if not languages:
+        return ContextTrees([], [b""], np.empty((256, 0), np.float16))
     seen: dict[str, dict[bytes, np.ndarray]] = {lang: {} for lang in languages}
     for lang, gram, n in counts:
         row = seen[lang].get(gram[:-1])
