@@ -51,28 +51,27 @@ def _hashes(words: str, size: int) -> Column:
 
 
 def _simhash(grouped, shingle: str) -> DataFrame:
-    """The fingerprint of each group of shingle hashes."""
-    bit = lambda k: F.shiftrightunsigned(shingle, k).bitwiseAND(F.lit(1))
-    sums = grouped.agg(F.count(F.lit(1)).alias("many"), *[F.sum(bit(k)).alias(f"bit{k}") for k in range(BLOCKS * BITS)])
-    print_ = F.lit(0).cast("long")
-    for k in range(BLOCKS * BITS):
-        value = (1 << k) - (1 << 64 if k == 63 else 0)
-        print_ = print_.bitwiseOR(F.when(2 * F.col(f"bit{k}") > F.col("many"), F.lit(value)).otherwise(F.lit(0)).cast("long"))
-    return sums.withColumn("print", print_).drop("many", *[f"bit{k}" for k in range(BLOCKS * BITS)])
-
-
-def _block(print_: str, block: int) -> Column:
-    return F.shiftrightunsigned(print_, BITS * block).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    """The fingerprint of each group of shingle hashes; a sum counts bits k and k + 32 in its two halves."""
+    lanes = F.lit((1 << 32) + 1)
+    half = BLOCKS * BITS // 2
+    sums = grouped.agg(
+        F.count(F.lit(1)).alias("many"),
+        *[F.sum(F.shiftrightunsigned(shingle, k).bitwiseAND(lanes)).alias(f"sum{k}") for k in range(half)],
+    )
+    print_ = F.expr(
+        f"aggregate(transform(array({', '.join(f'sum{k}' for k in range(half))}), (s, k) -> "
+        f"if(2 * (s & 4294967295L) > many, shiftleft(1L, k), 0L) | "
+        f"if(2 * shiftrightunsigned(s, 32) > many, shiftleft(1L, k + {half}), 0L)), 0L, (bits, x) -> bits | x)"
+    )
+    return sums.withColumn("print", print_).drop("many", *[f"sum{k}" for k in range(half)])
 
 
 def _by_block(prints: DataFrame, flips: list[int]) -> DataFrame:
     """Each fingerprint under the values of its blocks, with each pattern of ``flips`` applied."""
-    entries = [
-        F.struct(F.lit(b).alias("block"), _block("print", b).bitwiseXOR(F.lit(flip)).alias("value"))
-        for b in range(BLOCKS)
-        for flip in flips
-    ]
-    return prints.select("*", F.inline(F.array(*entries)))
+    blocked = prints.select("*", F.explode_outer(F.lit(list(range(BLOCKS)))).alias("block"))
+    flipped = blocked.select("*", F.explode_outer(F.lit(flips)).alias("flip"))
+    own = F.expr(f"cast(shiftrightunsigned(print, block * {BITS}) & {(1 << BITS) - 1} as int)")
+    return flipped.withColumn("value", own.bitwiseXOR(F.col("flip"))).drop("flip")
 
 
 def _flips(most: int) -> list[int]:
@@ -80,20 +79,25 @@ def _flips(most: int) -> list[int]:
     return [sum(1 << k for k in bits) for n in range(most + 1) for bits in combinations(range(BITS), n)]
 
 
-def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, n, k, b, h, weight): the weighted shingles of each item with a word.
+def _hashes_of(words: str, size: Column, sizes: list[int]) -> Column:
+    """The hashes for the shingle size of the row, one of ``sizes``."""
+    hashes = F.lit(None).cast("array<bigint>")
+    for k in sizes:
+        hashes = F.when(size == k, _hashes(words, k)).otherwise(hashes)
+    return hashes
+
+
+def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int]]:
+    """(item_id, n, k, b, h, weight): the weighted shingles of each item with a word, and the values of ``k``.
 
     ``n`` counts the item's words, ``k`` the words of a shingle and ``b`` the shingles.
     """
     words = items.select(F.col(item_id).alias("item_id"), _words(text).alias("words")).where(F.size("words") > 0)
-    hashes = F.lit(None).cast("array<bigint>")
-    for k in range(1, SHINGLE + 1):
-        enough = F.size("words") == k if k < SHINGLE else F.size("words") >= k
-        hashes = F.when(enough, _hashes("words", k)).otherwise(hashes)
-    shingled = words.select("item_id", F.size("words").alias("n"), hashes.alias("hashes"))
-    flat = shingled.select("item_id", "n", F.size("hashes").alias("b"), F.explode_outer("hashes").alias("h"))
-    grouped = flat.groupBy("item_id", "n", "b", "h").agg(F.count(F.lit(1)).alias("weight"))
-    return grouped.withColumn("k", F.least(F.col("n"), F.lit(SHINGLE)))
+    k = F.least(F.size("words"), F.lit(SHINGLE))
+    sizes = sorted(row[0] for row in words.select(k).distinct().collect())
+    shingled = words.select("item_id", F.size("words").alias("n"), k.alias("k"), _hashes_of("words", k, sizes).alias("hashes"))
+    flat = shingled.select("item_id", "n", "k", F.size("hashes").alias("b"), F.explode_outer("hashes").alias("h"))
+    return flat.groupBy("item_id", "n", "k", "b", "h").agg(F.count(F.lit(1)).alias("weight")), sizes
 
 
 def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -137,22 +141,21 @@ def candidate_windows(documents: DataFrame, shingles: DataFrame, sizes: list[int
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): each document and item with the document's best window."""
-    shingles = stored(item_shingles(items, text="text"), "items")
-    facts = shingles.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("k").alias("sizes")).first()
+    weighted_items, sizes = item_shingles(items)
+    shingles = stored(weighted_items, "items")
+    small = shingles.count() <= BROADCAST_SHINGLES
     documents = _documents(docs, doc_id, text)
-    windows = candidate_windows(documents, shingles, sorted(facts["sizes"]) or [SHINGLE], facts["rows"] <= BROADCAST_SHINGLES)
+    windows = candidate_windows(documents, shingles, sizes or [SHINGLE], small)
     per_document = windows.groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "n", "k", "a")).alias("windows"))
+    per_document = stored(per_document, "starts")
 
     again = _documents(docs, doc_id, text).withColumnsRenamed({"doc_id": "id", "body": "digest"})
     match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("body"))
     held = again.join(per_document, match).dropDuplicates(["doc_id", "body"]).select("doc_id", "body", "words", "windows")
     opened = held.select("doc_id", "body", "words", F.explode_outer("windows").alias("w")).select("doc_id", "body", "words", "w.*")
     cut = opened.withColumn("part", F.slice("words", F.col("start") + 1, F.col("a") + F.col("k") - 1)).drop("words")
-    hashes = F.lit(None).cast("array<bigint>")
-    for k in range(1, SHINGLE + 1):
-        hashes = F.when(F.col("k") == k, _hashes("part", k)).otherwise(hashes)
     window = ["doc_id", "body", "start", "n"]
-    hashed = cut.select(*window, hashes.alias("hashes"))
+    hashed = cut.select(*window, _hashes_of("part", F.col("k"), sizes or [SHINGLE]).alias("hashes"))
     weighted = stored(
         hashed.select(*window, F.explode_outer("hashes").alias("h")).groupBy(*window, "h").agg(F.count(F.lit(1)).alias("w")), "windows"
     )
@@ -163,6 +166,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     listed = _by_block(item_prints, _flips(RADIUS // BLOCKS)).withColumnRenamed("print", "item_print")
     near = _by_block(window_prints, [0]).join(listed, ["n", "block", "value"])
     near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select(*window, "item_id").distinct()
+    near = stored(near, "near")
 
     # Shared weight by pair, then the similarity from the two totals.
     totals = weighted.groupBy(*window).agg(F.sum("w").alias("a"))
