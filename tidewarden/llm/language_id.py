@@ -69,14 +69,18 @@ def sample(docs: DataFrame, keep: Column, per_language: int, doc_id: str, text:
     )
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     position = F.col("draw") / F.lit(2.0**64) + 0.5
-    thinned = labelled.join(counts, "lang").where(position <= 2.0 * per_language / F.col("n"))
+    # One row per language.
+    thinned = labelled.join(F.broadcast(counts), "lang").where(position <= 2.0 * per_language / F.col("n"))
     first = Window.partitionBy("lang").orderBy("draw", "text")
     ranked = thinned.withColumn("rank", F.row_number().over(first))
     return ranked.where(F.col("rank") <= per_language).select("lang", "text")
 
 
-def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n): how often each byte string of 1 to order + 1 bytes occurs, counted in parallel."""
+def gram_counts(rows: DataFrame, order: int = ORDER, min_seen: int = MIN_SEEN) -> DataFrame:
+    """(lang, context, bytes, counts): what followed each context of up to ``order`` bytes, counted in parallel.
+
+    Contexts seen fewer than ``min_seen`` times are left out, except the empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -86,31 +90,27 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
                 own = counts.setdefault(lang, Counter())
                 for size in range(order + 1):
                     own.update(stream[i - size : i + 1] for i in range(order, len(stream)))
-        flat = [(lang, gram, n) for lang, own in counts.items() for gram, n in own.items()]
+        flat = [(lang, gram[:-1], gram[-1], n) for lang, own in counts.items() for gram, n in own.items()]
         if flat:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*flat, strict=True)], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*flat, strict=True)], ["lang", "context", "byte", "n"])
 
-    grams = rows.select("lang", text_bytes("text").alias("text")).mapInArrow(run, "lang string, gram binary, n bigint")
-    return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    plain = rows.select("lang", text_bytes("text").alias("text"))
+    grams = plain.mapInArrow(run, "lang string, context binary, byte bigint, n bigint")
+    grams = grams.groupBy("lang", "context", "byte").agg(F.sum("n").alias("n"))
+    nodes = grams.groupBy("lang", "context").agg(F.collect_list("byte").alias("bytes"), F.collect_list("n").alias("counts"), F.sum("n").alias("n"))
+    return nodes.where((F.col("n") >= min_seen) | (F.length("context") == 0)).drop("n")
 
 
-def grow_trees(counts: list[tuple[str, bytes, int]], order: int = ORDER, min_seen: int = MIN_SEEN) -> ContextTrees:
-    """Context trees of all languages over one list of contexts."""
-    languages = sorted({lang for lang, _, _ in counts})
+def grow_trees(nodes: list[tuple[str, bytes, list[int], list[int]]], order: int = ORDER) -> ContextTrees:
+    """Context trees of all languages over one list of contexts, from (lang, context, bytes, counts)."""
+    languages = sorted({node[0] for node in nodes})
     if not languages:
         return ContextTrees([], [b""], np.empty((256, 0), np.float16))
-    seen: dict[str, dict[bytes, np.ndarray]] = {lang: {} for lang in languages}
-    for lang, gram, n in counts:
-        row = seen[lang].get(gram[:-1])
-        if row is None:
-            row = seen[lang][gram[:-1]] = np.zeros(256)
-        row[gram[-1]] += n
+    seen: dict[str, dict[bytes, tuple[list[int], list[int]]]] = {lang: {} for lang in languages}
     weight: Counter = Counter()
-    for own in seen.values():
-        for context in [c for c, row in own.items() if len(c) and row.sum() < min_seen]:
-            del own[context]
-        for context, row in own.items():
-            weight[context] += row.sum()
+    for lang, context, follow, counts in nodes:
+        seen[lang][context] = (follow, counts)
+        weight[context] += sum(counts)
     # Contexts are at least as frequent as the longer ones that end in them, so parents are kept first.
     kept = sorted(weight, key=lambda c: (-weight[c], len(c), c))[:MAX_NODES]
     closed = {b""} | {c[i:] for c in kept for i in range(len(c))}
@@ -118,19 +118,23 @@ def grow_trees(counts: list[tuple[str, bytes, int]], order: int = ORDER, min_see
     at = {c: i for i, c in enumerate(contexts)}
     bits = np.empty((len(contexts), 256, len(languages)), np.float16)
     for j, lang in enumerate(languages):
-        p = np.full((len(contexts), 256), 1 / 256)
+        p = np.full((len(contexts), 256), 1 / 256, np.float32)
         for size in range(order + 1):
-            nodes = [i for i, c in enumerate(contexts) if len(c) == size]
-            if not nodes:
-                continue
-            lower = p[[at[contexts[i][1:]] for i in nodes]] if size else p[nodes]
-            c = np.array([seen[lang].get(contexts[i], np.zeros(256)) for i in nodes])
-            n, d = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-            rest = np.where(c > 0, 0.0, lower)
-            left = rest.sum(axis=1, keepdims=True)
-            escape = np.divide(d, n + d, out=np.ones_like(left), where=n > 0) * (left > 0)
-            ruled = c / np.maximum(n + d * (left > 0), 1)
-            p[nodes] = ruled + escape * np.divide(rest, left, out=np.zeros_like(rest), where=left > 0)
+            nodes_of = [i for i, c in enumerate(contexts) if len(c) == size]
+            for start in range(0, len(nodes_of), 4096):
+                part = nodes_of[start : start + 4096]
+                lower = p[[at[contexts[i][1:]] for i in part]] if size else p[part]
+                c = np.zeros((len(part), 256))
+                for row, i in enumerate(part):
+                    if contexts[i] in seen[lang]:
+                        follow, counts = seen[lang][contexts[i]]
+                        c[row, follow] = counts
+                n, d = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
+                rest = np.where(c > 0, 0.0, lower)
+                left = rest.sum(axis=1, keepdims=True)
+                escape = np.divide(d, n + d, out=np.ones_like(left), where=n > 0) * (left > 0)
+                ruled = c / np.maximum(n + d * (left > 0), 1)
+                p[part] = ruled + escape * np.divide(rest, left, out=np.zeros_like(rest), where=left > 0)
         bits[:, :, j] = -np.log2(p)
     return ContextTrees(languages, contexts, bits.reshape(-1, len(languages)))
 
@@ -139,8 +143,8 @@ def learn(
     docs: DataFrame, keep: Column, train_docs: int = TRAIN_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> ContextTrees:
     """Trees from a bounded sample of the labelled documents for which ``keep`` holds."""
-    rows = gram_counts(sample(docs, keep, train_docs, doc_id, text, lang)).collect()
-    return grow_trees([(r["lang"], bytes(r["gram"]), r["n"]) for r in rows])
+    rows = gram_counts(sample(docs, keep, train_docs, doc_id, text, lang)).toLocalIterator()
+    return grow_trees([(r["lang"], bytes(r["context"]), r["bytes"], r["counts"]) for r in rows])
 
 
 def code_lengths(trees: ContextTrees, node_of: np.ndarray, texts: list[bytes]) -> np.ndarray:

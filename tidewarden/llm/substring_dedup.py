@@ -263,7 +263,7 @@ def _send_windows(found: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             words = Words(batch.column(2).to_pylist())
-            places_ = [_own(f, v) for f, v in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            places_ = [_own(f, v) for f, v in zip(batch.column(4).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             at = words.windows_at(np.concatenate([p + s for p, s in zip(places_, words.first, strict=True)]))
             if len(at):
                 pair = np.stack([sequence_names(words.names, WINDOW, salt)[at] for salt in (2, 3)], axis=1)
@@ -276,7 +276,7 @@ def _send_windows(found: DataFrame, buckets: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """The documents as (doc, variant, words, carried), and (doc, firsts, found) for their variants.
 
-    ``firsts`` lists the variants that are the first document of their text, ``found`` the starts of the windows
+    ``firsts`` lists the digests of the texts whose first document this is, ``found`` the starts of the windows
     that occur earlier, by variant.
     """
     spark = docs.sparkSession
@@ -288,16 +288,18 @@ def repeated_windows(docs: DataFrame, doc_id: str, text: str, carry: tuple[str,
     by_text = Window.partitionBy("doc").orderBy("words")
     numbered = plain.select("doc", "words", "carried", F.rank().over(by_text).alias("variant"), F.row_number().over(by_text).alias("row"))
 
-    me = F.struct("doc", "variant")
-    texts = numbered.select(me.alias("me"), F.sha2("words", 256).alias("digest"))
-    first = texts.groupBy("digest").agg(F.min("me").alias("me")).select("me.*")
-    first = first.groupBy("doc").agg(F.collect_set("variant").alias("firsts"))
-    # Rows that repeat a document would meet themselves: one is enough to search.
-    searched = numbered.join(first, "doc").where(F.array_contains("firsts", F.col("variant")) & F.expr("row = variant"))
-    searched = searched.select("doc", "variant", "words")
+    # The first document of each text; the digests come from the input itself and shuffle no text.
+    digests = plain.select("doc", F.sha2("words", 256).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc").alias("doc"))
+    first = first.groupBy("doc").agg(F.collect_set("digest").alias("firsts"))
+    # Rows that repeat a document would meet themselves: one is enough to search. All steps read the same columns
+    # of the documents, so that Spark shuffles them once.
+    is_first = F.array_contains("firsts", F.sha2("words", 256))
+    searched = numbered.join(first, "doc").where(is_first & F.expr("row = variant"))
+    searched = searched.select("doc", "variant", "words", "carried")
 
     keys = _repeated(_send_keys(searched, buckets), _NAME_BYTES["key"], False)
-    suspects = searched.join(keys, "doc").select("doc", "variant", "words", "found")
+    suspects = searched.join(keys, "doc").select("doc", "variant", "words", "carried", "found")
     windows = _repeated(_send_windows(suspects, buckets), _NAME_BYTES["window"], True)
     return numbered, first.join(windows, "doc", "full")
 
@@ -309,17 +311,18 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tu
     of the columns named in ``carry``, or a constant if there are none.
     """
     numbered, findings = repeated_windows(docs, doc_id, text, carry)
-    joined = numbered.join(findings, "doc", "left").select("doc", "variant", "words", "firsts", "found", "carried")
+    copy = ~F.coalesce(F.array_contains("firsts", F.sha2("words", 256)), F.lit(False))
+    joined = numbered.join(findings, "doc", "left").select("doc", "variant", "words", copy.alias("copy"), "found", "carried")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             counts, removed, kept = [], [], []
             rows = zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)
-            for _, variant, text_, firsts, found in rows:
+            for _, variant, text_, copy, found in rows:
                 words = text_.split()
                 n = len(words)
                 cover = np.zeros(n + 1, np.int64)
-                if n >= WINDOW and variant not in (firsts or ()):
+                if n >= WINDOW and copy:
                     cover[0] = 1
                 elif found:
                     starts = _own(found, variant)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -74,26 +75,23 @@ def fit(labelled: list[tuple[str, int, float]], steps: int = STEPS) -> SentenceM
     """Maximum likelihood of the noisy-or over (text, label, weight of the row) by adaptive gradient steps."""
     if len({label for _, label, _ in labelled}) < 2:
         return SentenceModel(-np.inf, {})
-    sentences = [[_WORD.findall(s) for s in _SENTENCE.findall(text.lower())] for text, _, _ in labelled]
     seen: Counter = Counter()
-    for own in sentences:
-        words = {w for s in own for w in s}
-        seen.update({f for w in words for f in features_of(w)})
+    for text, _, _ in labelled:
+        seen.update({f for w in set(_WORD.findall(text.lower())) for f in features_of(w)})
     names = sorted(f for f, n in seen.items() if n >= MIN_DOCS)
     at = {f: i for i, f in enumerate(names)}
-    of_word: dict[str, list[int]] = {}
-    columns: list[int] = []
-    sizes: list[int] = []
-    for own in sentences:
-        for words in own:
+    del seen
+    columns, sizes, own = array("i"), array("i"), array("i")
+    for text, _, _ in labelled:
+        found = _SENTENCE.findall(text.lower())
+        own.append(len(found))
+        for sentence in found:
             before = len(columns)
-            for w in words:
-                if w not in of_word:
-                    of_word[w] = [at[f] for f in features_of(w) if f in at]
-                columns += of_word[w]
+            for w in _WORD.findall(sentence):
+                columns.extend([at[f] for f in features_of(w) if f in at])
             sizes.append(len(columns) - before)
-    column, row = np.array(columns, np.int64), np.repeat(np.arange(len(sizes)), sizes)
-    document = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    column, row = np.array(columns, np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    document = np.repeat(np.arange(len(own)), own)
     label = np.array([x[1] for x in labelled], bool)
     share = np.array([x[2] for x in labelled])
     share = share / share.mean()
@@ -124,7 +122,7 @@ def sample(labelled: DataFrame, per_label: int) -> DataFrame:
     """
     plain = labelled.select("text", "toxic", F.xxhash64(F.lit("sample"), "doc_id").alias("draw"))
     counts = plain.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
-    thinned = plain.join(counts, "toxic").where(F.col("draw") / F.lit(2.0**64) + 0.5 <= 2.0 * per_label / F.col("n"))
+    thinned = plain.join(F.broadcast(counts), "toxic").where(F.col("draw") / F.lit(2.0**64) + 0.5 <= 2.0 * per_label / F.col("n"))
     ranked = thinned.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "text")))
     return ranked.where(F.col("rank") <= per_label).select("text", "toxic", (F.col("n") / F.least("n", F.lit(per_label))).alias("weight"))
 
