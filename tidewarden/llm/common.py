@@ -41,7 +41,7 @@ def id_residue(column: str, modulus: int) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that column ``text`` holds about SLICE_BYTES, one row at least."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
+        lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
         start = total = 0
         for i, size in enumerate(lengths):
             if total and total + size > SLICE_BYTES:
