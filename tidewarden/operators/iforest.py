@@ -14,8 +14,6 @@ from pyspark.sql.window import Window
 from tidewarden.operators.features import FEATURE_COLUMNS
 
 _NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth int, size int"
-# Twice the rows all trees need together; more would not change the trees.
-_POOL_FACTOR = 2
 _OVERSAMPLE = 1.5
 
 
@@ -63,27 +61,20 @@ class IsolationForest:
     rows_per_tree: int = 0
 
     def tree_rows(self, matrix: DataFrame) -> DataFrame:
-        """(tree, row) samples without replacement per tree, chosen by hash.
+        """(tree, row) samples without replacement per tree, chosen by hash among all rows.
 
-        Step one thins the table to a pool whose size depends on the number of trees only; step two lets
-        each pooled row join the few trees its hashes select.
+        Each tree draws by hashes of its own: every row can be drawn for every tree, whatever the size of the table.
         """
         total = matrix.count()
-        pool = min(total, self.trees * self.subsample * _POOL_FACTOR)
         top = float(2**63)
         key = F.col(self.key)
-
-        def chance(*salt) -> F.Column:
-            return (F.xxhash64(*[F.lit(s) for s in salt], key) / F.lit(top) + 1) / 2
-
-        pooled = matrix.filter(chance(self.seed, "pool") < pool / max(total, 1))
-        share = min(1.0, _OVERSAMPLE * self.subsample / max(pool, 1))
+        share = min(1.0, _OVERSAMPLE * self.subsample / max(total, 1))
         draws = F.transform(
             F.sequence(F.lit(0), F.lit(self.trees - 1)),
             lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(self.seed), t, key).alias("draw")),
         )
         chosen = F.filter(draws, lambda d: (d["draw"] / F.lit(top) + 1) / 2 <= share)
-        drawn = pooled.select(self.key, *self.columns, F.inline(chosen))
+        drawn = matrix.select(self.key, *self.columns, F.inline(chosen))
         first = Window.partitionBy("tree").orderBy("draw", self.key)
         return (
             drawn.withColumn("_rn", F.row_number().over(first))

@@ -203,10 +203,10 @@ SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.rule_name ORDER BY
     least(h.headroom, h.budget - h.before) AS cap
   FROM flags f JOIN (
     SELECT *, coalesce(sum(headroom) OVER (ORDER BY headroom DESC, rule_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM (SELECT p.rule_name, 12 - coalesce(u.n, 0) AS headroom,
-            greatest(0, 100 - (SELECT count(*) FROM flags WHERE flagged_at >= {_DAY} - INTERVAL 3 HOUR AND flagged_at < {_DAY})) AS budget
+    FROM (SELECT p.rule_name, 40 - coalesce(u.n, 0) AS headroom,
+            greatest(0, 150 - (SELECT count(*) FROM flags WHERE flagged_at >= {_DAY} - INTERVAL 24 HOUR AND flagged_at < {_DAY})) AS budget
           FROM (SELECT DISTINCT rule_name FROM flags WHERE flagged_at >= {_DAY}) p
-          LEFT JOIN (SELECT rule_name, count(*) AS n FROM flags WHERE flagged_at >= {_DAY} - INTERVAL 3 HOUR AND flagged_at < {_DAY} GROUP BY 1) u
+          LEFT JOIN (SELECT rule_name, count(*) AS n FROM flags WHERE flagged_at >= {_DAY} - INTERVAL 24 HOUR AND flagged_at < {_DAY} GROUP BY 1) u
             ON u.rule_name = p.rule_name)
     WHERE headroom > 0) h ON h.rule_name = f.rule_name
   WHERE f.flagged_at >= {_DAY})

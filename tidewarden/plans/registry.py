@@ -430,13 +430,9 @@ def _forest(w: Workspace) -> DataFrame:
     return ranked.select("customer_id", "raw_score", "anomaly_score", "anomaly_rank", "is_anomaly")
 
 
-# Fewer boosting rounds than the default of 100 keep the registered model queries short.
-_ROUNDS = 10
-
-
 def _triage_fit(w: Workspace) -> DataFrame:
     rows = cut_lineage(triage.training_rows(w.labelled))
-    return triage.triage_scores(triage.triage_fit(rows, _ROUNDS), rows)
+    return triage.triage_scores(triage.triage_fit(rows), rows)
 
 
 def _oof(w: Workspace) -> DataFrame:
@@ -444,12 +440,12 @@ def _oof(w: Workspace) -> DataFrame:
     checked = triage.check_balance(rows)
     if not checked.trained:
         return rows.select("customer_id", "label").limit(0)
-    return triage.oof(rows, checked.folds, _ROUNDS)
+    return triage.oof(rows, checked.folds)
 
 
 def _importances(w: Workspace) -> DataFrame:
     rows = cut_lineage(triage.training_rows(w.labelled))
-    result = triage.triage_fit(rows, _ROUNDS)
+    result = triage.triage_fit(rows)
     if result.model is None:
         return w.spark.createDataFrame([], "feature string, importance double")
     return triage.importances(result.model, rows)
@@ -458,8 +454,8 @@ def _importances(w: Workspace) -> DataFrame:
 def _run_record(w: Workspace) -> DataFrame:
     """Registry row of a run on out-of-fold scores; the scored table is the stored snapshot."""
     rows = cut_lineage(triage.training_rows(w.labelled))
-    result = triage.triage_fit(rows, _ROUNDS)
-    evaluated = triage.oof(rows, result.folds, _ROUNDS) if result.trained else None
+    result = triage.triage_fit(rows)
+    evaluated = triage.oof(rows, result.folds) if result.trained else None
     return triage.run_record(w.scores, None if evaluated is None else cut_lineage(evaluated), result, RUN, w.as_of)
 
 

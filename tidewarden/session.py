@@ -44,13 +44,15 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach: ``spark.checkpoint.dir`` if set.
 
-    Only where the session names none (a local test) is a temporary folder made, and then kept for the
-    session by writing it into the session settings.
+    Only a local session without one (a test) gets a temporary folder, kept by writing it into the session
+    settings; on a cluster that would be another disk for every executor, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("tidewarden.scratch.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tidewarden-")
         spark.conf.set("tidewarden.scratch.dir", path)
     return path
