@@ -114,25 +114,25 @@ def fit(labelled: list[tuple[str, int, float]], steps: int = STEPS) -> SentenceM
     return SentenceModel(float(bias), {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-3})
 
 
-def sample(labelled: DataFrame, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows (text, toxic, weight) of each label, by hash of the id.
+def sample(marks: DataFrame, per_label: int) -> DataFrame:
+    """At most ``per_label`` rows (doc_id, toxic, weight) of each label, by hash of the id.
 
     The labels' row counts thin the table by hash first, so that ranking meets a bounded number of rows; ``weight``
     is the number of labelled rows that a sampled row stands for.
     """
-    plain = labelled.select("text", "toxic", F.xxhash64(F.lit("sample"), "doc_id").alias("draw"))
-    counts = plain.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
-    thinned = plain.join(F.broadcast(counts), "toxic").where(F.col("draw") / F.lit(2.0**64) + 0.5 <= 2.0 * per_label / F.col("n"))
-    ranked = thinned.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "text")))
-    return ranked.where(F.col("rank") <= per_label).select("text", "toxic", (F.col("n") / F.least("n", F.lit(per_label))).alias("weight"))
+    drawn = marks.select("doc_id", "toxic", F.xxhash64(F.lit("sample"), "doc_id").alias("draw"))
+    counts = drawn.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+    thinned = drawn.join(F.broadcast(counts), "toxic").where(F.col("draw") / F.lit(2.0**64) + 0.5 <= 2.0 * per_label / F.col("n"))
+    ranked = thinned.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "doc_id")))
+    return ranked.where(F.col("rank") <= per_label).select("doc_id", "toxic", (F.col("n") / F.least("n", F.lit(per_label))).alias("weight"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, keep: Column, train_docs: int = TRAIN_DOCS) -> SentenceModel:
     """A model from a bounded sample of the labelled documents for which ``keep`` (over ``doc_id``) holds."""
     marks = labels.where(keep & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(marks, "doc_id")
-    rows = sample(labelled, train_docs).collect()
-    return fit(sorted((r["text"], r["toxic"], r["weight"]) for r in rows))
+    # At most train_docs ids per label are broadcast; the documents are not shuffled.
+    labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample(marks, train_docs)), "doc_id")
+    return fit(sorted((r["text"], r["toxic"], r["weight"]) for r in labelled.select("text", "toxic", "weight").collect()))
 
 
 def score(docs: DataFrame, model: SentenceModel, text: str = "text") -> DataFrame:
