@@ -55,3 +55,13 @@ def test_fan_out_mart_never_joins_payments_with_alerts(w):
     joins = [i for i, line in enumerate(text.splitlines()) if "Join" in line]
     aggregates = [i for i, line in enumerate(text.splitlines()) if "HashAggregate" in line]
     assert max(joins) < max(aggregates)
+
+
+def test_a_page_reduces_the_table_it_is_joined_to(w):
+    text = plan(alerts.recent_alerts(w.flags, w.dispositions, w.txns, 100))
+    assert "LeftSemi" in text
+
+
+def test_stored_tables_follow_the_configuration(spark, w):
+    low = {**w.cfg, "high_value": {**w.cfg["high_value"], "threshold_eur": 1.0}}
+    assert Workspace(spark, DATA, cfg=low).flags.count() > w.flags.count()

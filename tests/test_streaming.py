@@ -111,6 +111,18 @@ def test_a_repeated_batch_changes_nothing_and_an_empty_one_is_skipped(spark, w,
     assert pipeline.table("flags").filter("batch_id = 2").count() == 0
 
 
+def test_a_retry_with_fewer_rows_leaves_no_stale_ones(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "k int, d string")
+    for day_of, name in ((None, "plain"), ("d", "days")):
+        path = str(tmp_path / name)
+        batch_tables.write_batch(df, path, 0, day_of)
+        batch_tables.write_batch(df, path, 1, day_of)
+        batch_tables.write_batch(df.filter("k = 2"), path, 1, day_of)
+        assert rows(spark.read.parquet(path).select("batch_id", "k")) == [(0, 1), (0, 2), (1, 2)]
+        batch_tables.write_batch(df.limit(0), path, 1, day_of)
+        assert rows(spark.read.parquet(path).select("batch_id", "k")) == [(0, 1), (0, 2)]
+
+
 def test_compaction_keeps_the_keyed_view(spark, tmp_path):
     path, target = str(tmp_path / "log"), str(tmp_path / "compact")
     for n, v in enumerate(["a", "b"]):

@@ -144,7 +144,7 @@ def _with_customer(alerts: DataFrame, customers: DataFrame) -> DataFrame:
     named = customers.select(
         "customer_id", F.col("name").alias("customer_name"), F.col("risk_score").alias("kyc_risk_score")
     )
-    return alerts.join(named, "customer_id", "left").select(
+    return attach(alerts, named, "customer_id").select(
         F.col("txn_id").alias("alert_id"), "customer_id", "rule_name", "flagged_at",
         "alert_priority_score", "customer_name", "kyc_risk_score",
     )
@@ -166,6 +166,15 @@ def page(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0)
     return df if limit is None else df.limit(limit)
 
 
+def attach(paged: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of a page to a table of any size.
+
+    A left join cannot broadcast its left side, so the table is first reduced to the page's keys by a semi
+    join, whose small side the page is; only the rows left are shuffled.
+    """
+    return paged.join(table.join(paged.select(key), key, "left_semi"), key, "left")
+
+
 def open_alerts(
     flags: DataFrame, dispositions: DataFrame, customers: DataFrame, limit: int = 10, offset: int = 0
 ) -> DataFrame:
@@ -190,7 +199,7 @@ def recent_alerts(flags: DataFrame, dispositions: DataFrame, txns: DataFrame, li
         *ALERT_KEY, "customer_id", "account_id", "amount", "amount_eur", "currency", "rule_detail",
         "window_type", "flagged_at",
     )
-    return newest.join(txns.select("txn_id", *_DETAIL), "txn_id", "left")
+    return attach(newest, txns.select("txn_id", *_DETAIL), "txn_id")
 
 
 def record_disposition(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -210,7 +219,7 @@ def archived_alerts(
     decided = dispositions.join(flags.select(*ALERT_KEY, "customer_id", "flagged_at"), ALERT_KEY)
     paged = page(decided, [F.desc("created_at"), F.asc("txn_id"), F.asc("rule_name")], limit, offset)
     named = customers.select("customer_id", F.col("name").alias("customer_name"))
-    return paged.join(named, "customer_id", "left").select(
+    return attach(paged, named, "customer_id").select(
         F.col("txn_id").alias("alert_id"), "rule_name", "disposition", outcome.alias("outcome"),
         "analyst_notes", F.col("created_at").alias("archived_at"), "customer_name", "flagged_at",
     )

@@ -17,8 +17,8 @@ _PARTY_FIELDS = ["sender_name", "sender_identity_no", "receiver_name", "receiver
 def dq_identity(txns: DataFrame, identity: str, attribute: str, separator: str = ", ", cut: int | None = None) -> DataFrame:
     """Identities seen with more than one value of ``attribute``.
 
-    (identity, value) pairs are made distinct first, so a hot identity shuffles each value once per task;
-    lists are built only of violating identities.
+    (identity, value) pairs are made distinct first, so a hot identity shuffles each value once per task. The
+    list of an identity's different values is the result: one value for a sound identity.
     """
     value = F.col(attribute) if cut is None else F.substring(attribute, 1, cut)
     pairs = (

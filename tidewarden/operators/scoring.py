@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.operators.alerts import page
+from tidewarden.operators.alerts import attach, page
 from tidewarden.operators.ordered import ordered_scan
 
 CONTAMINATION = 0.05
@@ -14,7 +14,8 @@ CURVE_POINTS = 200
 
 def normalize(df: DataFrame, column: str, output: str = "anomaly_score") -> DataFrame:
     """Min-max to 0..1; a range below 1e-12 gives 0."""
-    low, high = df.select(F.min(column)).scalar(), df.select(F.max(column)).scalar()
+    ends = df.select(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    low, high = ends.getField("low"), ends.getField("high")
     spread = high - low
     value = F.when(spread < 1e-12, F.lit(0.0)).otherwise((F.col(column) - low) / spread)
     return df.withColumn(output, value)
@@ -29,7 +30,7 @@ def anomaly_rank(df: DataFrame, score: str = "anomaly_score", key: str = "custom
 def flag_anomalies(df: DataFrame, raw: str, contamination: float = CONTAMINATION, key: str = "customer_id") -> DataFrame:
     """Add rank and ``is_anomaly``: above the interpolated quantile that leaves ``contamination`` over it."""
     ranked = ordered_scan(df, [F.desc(raw), F.asc(key)])
-    n = df.select(F.count(F.lit(1))).scalar()
+    n = ranked.select(F.count(F.lit(1))).scalar()
     at = (n - 1) * F.lit(contamination)
     low, high = F.floor(at), F.ceil(at)
     above = ranked.filter(F.col("idx") == low).select(F.max(raw)).scalar()
@@ -182,7 +183,7 @@ def top_anomalies(scores: DataFrame, customers: DataFrame, by: str = "anomaly_sc
     ]
     order = "triage_score" if by == "triage_score" else "anomaly_score"
     top = page(scores.select(*columns), [F.desc_nulls_last(order), F.asc("customer_id")], limit)
-    return top.join(customers.select("customer_id", F.col("name").alias("customer_name")), "customer_id", "left")
+    return attach(top, customers.select("customer_id", F.col("name").alias("customer_name")), "customer_id")
 
 
 def ml_only(scores: DataFrame, limit: int = 20) -> DataFrame:

@@ -634,6 +634,11 @@ _BODY: dict[str, str] = {
         "FROM flags f LEFT JOIN txn t ON t.txn_id = f.txn_id QUALIFY row_number() OVER (PARTITION BY f.txn_id ORDER BY f.rule_name) = 1"
     ),
     "alert_disposition": "SELECT * FROM disp",
+    "alert_for_payment": (
+        f"SELECT f.txn_id, f.rule_name, f.customer_id, {_d('f.amount_eur')}, t.txn_category, t.txn_type, t.country_code, t.receiver_id, t.sender_country, t.receiver_country "
+        "FROM flags f LEFT JOIN txn t ON t.txn_id = f.txn_id WHERE f.txn_id = (SELECT min(txn_id) FROM flags) ORDER BY f.rule_name LIMIT 1"
+    ),
+    "disposition_for_alert": "SELECT disposition, analyst_notes, created_at FROM disp ORDER BY txn_id, rule_name LIMIT 1",
     "sar_groups": f"SELECT account_id, account_id_hash, cnt, rules, {_d('max_amount')} FROM groups ORDER BY cnt DESC, account_id LIMIT 20",
     "new_sar_groups": f"SELECT account_id, account_id_hash, cnt, rules, {_d('max_amount')} FROM groups",
     "render_sar": (

@@ -255,6 +255,19 @@ def _alert_by_txn(w: Workspace) -> DataFrame:
     )
 
 
+def _alert_for_payment(w: Workspace) -> DataFrame:
+    """The lookup by id, for the payment with the least id among the alerts."""
+    first = w.flags.agg(F.min("txn_id")).first()[0]
+    fields = ["txn_category", "txn_type", "country_code", "receiver_id", "sender_country", "receiver_country"]
+    return alerts.alert_by_txn(w.flags, w.txns, first).select("txn_id", "rule_name", "customer_id", "amount_eur", *fields)
+
+
+def _disposition_for_alert(w: Workspace) -> DataFrame:
+    """The lookup by key, for the decided alert with the least key."""
+    first = w.dispositions.agg(F.min(F.struct("txn_id", "rule_name"))).first()[0]
+    return alerts.alert_disposition(w.dispositions, *(first or (None, None)))
+
+
 def _latest_metrics_rows(w: Workspace) -> DataFrame:
     return windows.latest_window_metrics(w.metrics)
 
@@ -586,6 +599,8 @@ QUERIES: dict[str, Query] = {
     "customer_alerts_30d": lambda w: alerts.customer_alerts_30d(w.flags, ONE_CUSTOMER, w.as_of),
     "alert_by_txn": _alert_by_txn,
     "alert_disposition": lambda w: w.dispositions,
+    "alert_for_payment": _alert_for_payment,
+    "disposition_for_alert": _disposition_for_alert,
     # reports
     "sar_groups": lambda w: sar.sar_groups(w.flags, w.reports),
     "new_sar_groups": lambda w: sar.new_sar_groups(w.flags, w.reports),
@@ -691,7 +706,9 @@ QUERIES: dict[str, Query] = {
     "features": _features,
     "feature_matrix": _matrix,
     "normalize": _normalized,
-    "anomaly_rank": lambda w: w.scores.select("customer_id", "anomaly_rank", "is_anomaly"),
+    "anomaly_rank": lambda w: scoring.anomaly_rank(w.scores.drop("anomaly_rank")).select(
+        "customer_id", "anomaly_rank", "is_anomaly"
+    ),
     "score_snapshot": lambda w: w.scores,
     "roc_auc": lambda w: scoring.roc_auc(w.steps),
     "average_precision": lambda w: scoring.average_precision(w.steps),

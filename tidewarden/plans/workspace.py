@@ -14,7 +14,7 @@ from tidewarden.session import scratch_path
 from tidewarden.sources import binding
 from tidewarden.sources.tables import read_table
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, ...], str] = {}
 
 
 class Workspace:
@@ -33,8 +33,9 @@ class Workspace:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.base, name)
 
-    def _store(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.base, name)
+    def _store(self, name: str, build: Callable[[], DataFrame], *depends: object) -> DataFrame:
+        """``depends`` names the settings of the workspace that the table follows from, besides the inputs."""
+        key = (self.spark.sparkContext.applicationId, self.base, name, *map(repr, depends))
         if key not in _stored:
             path = scratch_path(self.spark, name)
             build().write.parquet(path)
@@ -80,7 +81,7 @@ class Workspace:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return self._store("metrics", lambda: windows.window_metrics(self.txns, self.as_of))
+        return self._store("metrics", lambda: windows.window_metrics(self.txns, self.as_of), self.as_of)
 
     @property
     def one_minute_later(self):
@@ -95,7 +96,8 @@ class Workspace:
 
     @cached_property
     def flags(self) -> DataFrame:
-        return self._store("flags", lambda: alerts.alert_priority(self.evaluated(), self.customers))
+        scored = lambda: alerts.alert_priority(self.evaluated(), self.customers)
+        return self._store("flags", scored, self.as_of, self.cfg)
 
     @cached_property
     def dispositions(self) -> DataFrame:
@@ -168,7 +170,7 @@ class Workspace:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return self._store("scores", lambda: scoring.score_snapshot(self.scored, "v1"))
+        return self._store("scores", lambda: scoring.score_snapshot(self.scored, "v1"), self.as_of, self.cfg)
 
     @cached_property
     def steps(self) -> DataFrame:

@@ -1,7 +1,7 @@
 """File tables written batch by batch.
 
-Each micro-batch owns the partitions ``batch_id=<n>`` of a table and overwrites only these, so a batch
-that runs again after a failure leaves the same table.
+Each micro-batch owns the folder ``batch_id=<n>`` of a table and replaces it as a whole, so a batch that runs
+again after a failure leaves only the rows of its last run, even if these are fewer or none.
 """
 
 from __future__ import annotations
@@ -15,17 +15,12 @@ from tidewarden.operators.analytics import latest_per
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, day_of: str | None = None) -> None:
-    owned = df.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-    layout = ["batch_id"]
+    """Replace the rows of one batch, in partitions by the date of ``day_of`` if given."""
+    owned = df.withColumn("day", F.to_date(day_of)) if day_of else df
+    writer = owned.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if day_of:
-        owned = owned.withColumn("day", F.to_date(day_of))
-        layout = ["day", "batch_id"]
-    (
-        owned.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*layout)
-        .parquet(path)
-    )
+        writer = writer.partitionBy("day")
+    writer.parquet(f"{path}/batch_id={int(batch_id)}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
