@@ -44,30 +44,37 @@ def test_duplicate_delivery_is_dropped(spark, feed, tmp_path):
     assert spark.read.parquet(path).count() == 1000
 
 
-def test_one_alert_key_across_batches(spark, feed, w, tmp_path):
-    path = queries.run_to(queries.stream_alert_keys(stream(spark, feed), lateness="60 days"), str(tmp_path))
-    got = spark.read.parquet(path).select("customer_id", "window_start")
-    batch = w.evaluated(only=["high_value"]).select("customer_id", F.date_trunc("day", "ts"))
-    assert rows(got) == rows(batch)
-
-
-def test_late_rows_are_dropped_and_counted(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    for day in ("2024-01-20 10:00:00", "2024-01-21 10:00:00", "2024-01-02 10:00:00"):
+def test_alerts_once_per_customer_rule_and_window_over_batches(spark, w, tmp_path):
+    folder = str(tmp_path / "alerts")
+    for _ in range(3):
+        w.flags.coalesce(1).write.mode("append").parquet(folder)
+    feed = spark.readStream.schema(w.flags.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    path = queries.run_to(queries.stream_alert_keys(feed), str(tmp_path))
+    got = rows(spark.read.parquet(path).select("customer_id", "rule_name", "window_start"))
+    window = queries.alert_window(F.col("window_type"), F.col("ts"))
+    keyed = w.flags.filter("rule_name <> 'dormant_reactivation'").select("customer_id", "rule_name", window)
+    assert got == rows(keyed.distinct())
+    assert len({r[1] for r in got}) > 1
+
+
+def test_late_rows_are_kept_and_counted(spark, tmp_path):
+    folder, base = str(tmp_path / "in"), str(tmp_path / "out")
+    for event, day in enumerate(("2024-01-20 10:00:00", "2024-01-21 10:00:00", "2024-01-02 10:00:00", "2024-01-02 10:00:00")):
         spark.range(1).select(
-            F.lit(1).cast("long").alias("event_id"), F.lit(day).cast("timestamp_ntz").alias("ts"),
+            F.lit(event).cast("long").alias("event_id"), F.lit(day).cast("timestamp_ntz").alias("ts"),
             F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"),
             F.lit('{"k": 1}').alias("props"),
         ).coalesce(1).write.mode("append").parquet(folder)
-    df = queries.stream_daily_facts(source.payment_stream(spark, folder, files_per_trigger=1), "1 day")
-    out = str(tmp_path / "rows")
-    query = queries.start(df, lambda b, n: batch_tables.write_batch(b, out, n), str(tmp_path / "cp"), "update")
-    query.awaitTermination()
-    dropped = sum(
-        op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]
-    )
-    assert dropped == 1
-    assert batch_tables.latest_rows(spark, out, ["sender_id", "receiver_id", "day"]).count() == 2
+    feed = source.payment_stream(spark, folder, files_per_trigger=1)
+    queries.run_window_metrics(feed, base, F.lit("2024-02-01").cast("timestamp"), "1 day").collect()
+    late = rows(queries.late_facts(spark, base).select(F.col("event_ts").cast("string"), "batch_id"))
+    whole = windows.transfer_facts(source.binding.payments(spark.read.parquet(folder)))
+    assert sum(r["n"] for r in queries.daily_sums(spark, base).collect()) == whole.count()
+    assert late and all(r[0] == "2024-01-02 10:00:00" and r[1] >= 2 for r in late)
+    # A batch that runs again finds the same facts.
+    before = rows(queries.daily_sums(spark, base))
+    queries.keep_facts(source.binding.payments(spark.read.parquet(folder)).filter("ts < '2024-01-03'"), base, 3, "1 day")
+    assert rows(queries.daily_sums(spark, base)) == before
 
 
 def test_pipeline_over_several_batches(spark, feed, w, tmp_path):
@@ -107,6 +114,7 @@ def test_a_repeated_batch_changes_nothing_and_an_empty_one_is_skipped(spark, w,
     pipeline.process(later, 1)
     assert {t: rows(pipeline.table(t).drop("archived_at")) for t in before} == before
     assert pipeline.table("flags").count() <= 100
+    assert pipeline.table("enriched").count() == pipeline.table("transactions").count()
     pipeline.process(w.wire.limit(0), 2)
     assert pipeline.table("flags").filter("batch_id = 2").count() == 0
 

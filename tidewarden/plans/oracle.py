@@ -907,13 +907,18 @@ _BODY["stream_velocity"] = (
 )
 _BODY["stream_dedupe"] = _BODY["dedupe_by"]
 _BODY["stream_alert_keys"] = (
-    "SELECT DISTINCT customer_id, 'high_value' AS rule_name, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start FROM base WHERE amount_eur > 10000 AND customer_id IS NOT NULL"
+    "SELECT DISTINCT customer_id, rule_name, CAST(date_trunc(CASE window_type WHEN 'weekly' THEN 'week' WHEN 'monthly' THEN 'month' ELSE 'day' END, ts) AS TIMESTAMP) "
+    "AS window_start FROM flags WHERE customer_id IS NOT NULL AND rule_name <> 'dormant_reactivation'"
 )
 _BODY["stream_enrich"] = (
     "SELECT t.txn_id, t.sender_id AS anchor_customer_id, c.name AS cust_name, c.segment AS cust_segment, c.customer_status AS cust_status "
     "FROM txn t LEFT JOIN cust c ON c.customer_id = t.sender_id"
 )
-_BODY["stream_pipeline"] = f"SELECT {_FLAG_OUT}, {_d('alert_priority_score')} FROM flags"
+_BODY["stream_pipeline"] = (
+    f"SELECT {_FLAG_OUT}, {_d('alert_priority_score')} FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY rule_name ORDER BY alert_priority_score DESC NULLS LAST, ts DESC, txn_id) AS rn, "
+    "least(12, 100 - 12 * (dense_rank() OVER (ORDER BY rule_name) - 1)) AS cap FROM flags) WHERE rn <= cap"
+)
 _BODY["upsert"] = (
     "WITH "
     + ", ".join(f"{n} AS ({_CTE[n]})" for n in ("ev", "wire", "txn"))

@@ -315,12 +315,19 @@ def _retention_tables(w: Workspace) -> dict[str, DataFrame]:
     }
 
 
+def _write_mart(name: str, df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _schema_tests(w: Workspace) -> DataFrame:
-    staged = gold.stg_flagged(w.flags)
+    """The gold build, then the column tests on what it stored."""
+    built = gold.build_gold(w.txns, w.customers, w.flags, w.as_of, _write_mart)
     checks = [
-        (staged, "stg_flagged_transactions", {"txn_id": ["not_null"], "rule_name": ["not_null", ("accepted_values", ACCEPTED_RULES)]}),
-        (gold.gold_account_risk_score(staged), "gold_account_risk_score", {"account_id": ["not_null", "unique"], "risk_tier": [("accepted_values", ["low", "medium", "high"])]}),
-        (gold.gold_customer_risk_profile(w.txns, w.customers, w.flags, w.as_of), "gold_customer_risk_profile", {"customer_id": ["not_null", "unique"]}),
+        (built["stg_flagged"], "stg_flagged_transactions", {"txn_id": ["not_null"], "rule_name": ["not_null", ("accepted_values", ACCEPTED_RULES)]}),
+        (built["gold_account_risk_score"], "gold_account_risk_score", {"account_id": ["not_null", "unique"], "risk_tier": [("accepted_values", ["low", "medium", "high"])]}),
+        (built["gold_customer_risk_profile"], "gold_customer_risk_profile", {"customer_id": ["not_null", "unique"]}),
         # Failing on purpose: payments of one sender repeat, and only one tier is allowed.
         (w.txns.select("sender_name"), "transactions", {"sender_name": ["not_null", "unique"]}),
     ]
@@ -417,7 +424,8 @@ def _stream_dedupe(w: Workspace) -> DataFrame:
 
 
 def _stream_alert_keys(w: Workspace) -> DataFrame:
-    rows = _stream_rows(w, stream_queries.stream_alert_keys(_stream(w)), "stream-alerts")
+    raised = w.spark.readStream.schema(w.flags.schema).parquet(w.flags_path)
+    rows = _stream_rows(w, stream_queries.stream_alert_keys(raised), "stream-alerts")
     return rows.select("customer_id", "rule_name", "window_start")
 
 
@@ -427,10 +435,8 @@ def _stream_enrich(w: Workspace) -> DataFrame:
 
 
 def _stream_pipeline(w: Workspace) -> DataFrame:
-    """Alerts of the streaming pipeline without a budget."""
-    pipeline = PaymentPipeline(
-        w.spark, scratch_path(w.spark, "stream-pipeline"), w.customers, global_cap=None, rule_cap=None
-    )
+    """Alerts of the streaming pipeline that fit the budget of its one batch."""
+    pipeline = PaymentPipeline(w.spark, scratch_path(w.spark, "stream-pipeline"), w.customers)
     pipeline.run(_stream(w)).awaitTermination()
     return pipeline.table("flags").select(*rules.FLAG_COLUMNS, "alert_priority_score")
 

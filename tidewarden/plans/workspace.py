@@ -33,14 +33,17 @@ class Workspace:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.base, name)
 
-    def _store(self, name: str, build: Callable[[], DataFrame], *depends: object) -> DataFrame:
-        """``depends`` names the settings of the workspace that the table follows from, besides the inputs."""
+    def _path(self, name: str, build: Callable[[], DataFrame], *depends: object) -> str:
+        """Where a stored table lies; ``depends`` names the settings of the workspace that the table follows from, besides the inputs."""
         key = (self.spark.sparkContext.applicationId, self.base, name, *map(repr, depends))
         if key not in _stored:
             path = scratch_path(self.spark, name)
             build().write.parquet(path)
             _stored[key] = path
-        return self.spark.read.parquet(_stored[key])
+        return _stored[key]
+
+    def _store(self, name: str, build: Callable[[], DataFrame], *depends: object) -> DataFrame:
+        return self.spark.read.parquet(self._path(name, build, *depends))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -95,9 +98,13 @@ class Workspace:
         )
 
     @cached_property
-    def flags(self) -> DataFrame:
+    def flags_path(self) -> str:
         scored = lambda: alerts.alert_priority(self.evaluated(), self.customers)
-        return self._store("flags", scored, self.as_of, self.cfg)
+        return self._path("flags", scored, self.as_of, self.cfg)
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        return self.spark.read.parquet(self.flags_path)
 
     @cached_property
     def dispositions(self) -> DataFrame:

@@ -15,27 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidewarden.config import GLOBAL_ALERT_CAP, RULE_ALERT_CAP, load_rules
-from tidewarden.functions.calendar import hours_before, window_start
-from tidewarden.operators import alerts, normalize, rules, windows
-from tidewarden.streaming.queries import start
+from tidewarden.functions.calendar import hours_before
+from tidewarden.operators import alerts, enrich, normalize, rules, windows
+from tidewarden.streaming.queries import alert_window, start
 from tidewarden.streaming.tables import exists, latest_rows, read_before, write_batch
 
 METRIC_KEYS = ["customer_id", "window_type", "window_start"]
 HISTORY_DAYS = 31
 
 
-def alert_window(window_type: Column, ts: Column) -> Column:
-    """Start of the window an alert belongs to."""
-    return (
-        F.when(window_type == "weekly", window_start(ts, "weekly"))
-        .when(window_type == "monthly", window_start(ts, "monthly"))
-        .otherwise(window_start(ts, "daily"))
-    )
-
-
 @dataclass
 class PaymentPipeline:
-    """Normalise, store, measure, detect, budget, prioritise and archive one batch of payments.
+    """Normalise, store, enrich, measure, detect, budget, prioritise and archive one batch of payments.
 
     Metrics are measured from the stored history of the customers in the batch. With ``metrics_source``
     they come from elsewhere, such as the table a stateful metrics stream keeps; the history is then not
@@ -73,6 +64,7 @@ class PaymentPipeline:
         stored = spark.read.parquet(self.path("transactions")).filter(F.col("batch_id") <= batch_id)
         # Read back what was stored: a late file listing or a lost executor cannot change the batch.
         txns = stored.filter(F.col("batch_id") == batch_id).select(*normalize.TXN_COLUMNS)
+        write_batch(enrich.enrich_kyc(txns, self.customers), self.path("enriched"), batch_id, day_of="ts")
         first_day, last_ts = txns.agg(F.min(F.to_date("ts")), F.max("ts")).first()
 
         since = F.date_sub(F.lit(first_day), HISTORY_DAYS)

@@ -1,4 +1,4 @@
-"""Streaming operators: keyed partial sums, velocity windows, deduplication, static joins.
+"""Streaming operators: daily sums, alert keys, velocity windows, deduplication, static joins.
 
 Each ``run_*`` starts a query that handles what is there and stops; ``trigger`` may be replaced for a
 permanent query.
@@ -9,20 +9,26 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidewarden.config import RULES
+from tidewarden.functions.calendar import window_start
 from tidewarden.operators import enrich
-from tidewarden.operators.normalize import alert_subject
 from tidewarden.operators.windows import roll_up
-from tidewarden.streaming.tables import latest_rows, write_batch
+from tidewarden.streaming.tables import exists, latest_rows, write_batch
 
 LATENESS = "2 days"
 TRIGGER = "30 seconds"
 
-_FACT_KEYS = ["sender_id", "receiver_id", "day"]
+#: How long the key of an alert is remembered: over a month, the longest window.
+ALERT_MEMORY = "32 days"
+
+_FACT = ["sender_id", "receiver_id", "amount_eur", "event_ts"]
+_FACT_SCHEMA = (
+    "sender_id string, receiver_id string, amount_eur decimal(18,2), event_ts timestamp, late boolean, batch_id int, day date"
+)
 
 
 def start(
@@ -46,32 +52,67 @@ def run_to(df: DataFrame, base: str, mode: str = "append") -> str:
     return path
 
 
-def stream_daily_facts(payments: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Running volume and count per (sender, receiver, day).
-
-    Repeated (sender, receiver, amount, time) payments are dropped first. State is small: one row per
-    pair and open day, evicted by the watermark. Distinct receivers need no sketch, because receivers are
-    part of the key.
-    """
-    facts = payments.select(
+def payment_facts(payments: DataFrame) -> DataFrame:
+    """Who paid whom how much and when; payments without a sender are left out."""
+    return payments.select(
         F.coalesce("sender_customer_no", "sender_id").alias("sender_id"),
         F.coalesce("receiver_customer_no", "receiver_id").alias("receiver_id"),
         F.col("amount_eur").cast("decimal(18,2)").alias("amount_eur"),
         F.col("ts").alias("event_ts"),
     ).filter(F.col("sender_id").isNotNull())
+
+
+def _stored_facts(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(_FACT_SCHEMA).parquet(os.path.join(base, "facts"))
+
+
+def keep_facts(batch: DataFrame, base: str, batch_id: int, lateness: str = LATENESS) -> None:
+    """Store a batch's new (sender, receiver, amount, time) facts and their daily sums.
+
+    Nothing is dropped: a fact older than the newest one of the earlier batches by more than ``lateness`` is
+    stored like the others and marked ``late``. Repeats are looked for on the stored days that the batch
+    touches only. All three tables are owned by the batch id, so a retry replaces what it wrote.
+    """
+    spark = batch.sparkSession
+    rows, newest = payment_facts(batch).distinct(), None
+    if exists(spark, os.path.join(base, "facts")):
+        days = rows.select(F.to_date("event_ts").alias("day")).distinct()
+        seen = _stored_facts(spark, base).filter(F.col("batch_id") < batch_id).join(days, "day", "left_semi")
+        same = [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in _FACT]
+        rows = rows.alias("new").join(seen.alias("old"), same, "left_anti")
+        progress = spark.read.schema("newest timestamp, batch_id int").parquet(os.path.join(base, "progress"))
+        newest = progress.filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+    limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
+    late = F.coalesce(F.col("event_ts") < limit, F.lit(False))
+    write_batch(rows.withColumn("late", late), os.path.join(base, "facts"), batch_id, day_of="event_ts")
+
+    kept = _stored_facts(spark, base).filter(F.col("batch_id") == batch_id)
+    daily = kept.groupBy("sender_id", "receiver_id", F.date_trunc("day", "event_ts").alias("day")).agg(
+        F.sum("amount_eur").alias("volume"), F.count(F.lit(1)).alias("n")
+    )
+    write_batch(daily, os.path.join(base, "daily"), batch_id)
+    write_batch(kept.agg(F.max("event_ts").alias("newest")), os.path.join(base, "progress"), batch_id)
+
+
+def daily_sums(spark: SparkSession, base: str) -> DataFrame:
+    """Volume and count per (sender, receiver, day) over all batches."""
     return (
-        facts.withWatermark("event_ts", lateness)
-        .dropDuplicates(["sender_id", "receiver_id", "amount_eur", "event_ts"])
-        .groupBy("sender_id", "receiver_id", F.window("event_ts", "1 day").alias("w"))
-        .agg(F.sum("amount_eur").alias("volume"), F.count(F.lit(1)).alias("n"))
-        .select("sender_id", "receiver_id", F.col("w.start").alias("day"), "volume", "n")
+        spark.read.parquet(os.path.join(base, "daily"))
+        .groupBy("sender_id", "receiver_id", "day")
+        .agg(F.sum("volume").cast("decimal(28,2)").alias("volume"), F.sum("n").alias("n"))
     )
 
 
+def late_facts(spark: SparkSession, base: str) -> DataFrame:
+    """The facts that came late, with the batch that brought them."""
+    return _stored_facts(spark, base).filter("late").drop("late")
+
+
 def run_window_metrics(payments: DataFrame, base: str, computed_at, lateness: str = LATENESS) -> DataFrame:
-    """Window metrics kept by a stream: daily sums are upserted, all windows are rolled up from them."""
-    path = run_to(stream_daily_facts(payments, lateness), base, "update")
-    return roll_up(latest_rows(payments.sparkSession, path, _FACT_KEYS), computed_at)
+    """Window metrics kept by a stream: each batch adds its daily sums, all windows are rolled up from them."""
+    query = start(payments, lambda batch, n: keep_facts(batch, base, n, lateness), os.path.join(base, "checkpoint"))
+    query.awaitTermination()
+    return roll_up(daily_sums(payments.sparkSession, base), computed_at)
 
 
 def stream_velocity(
@@ -100,19 +141,25 @@ def stream_dedupe(payments: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return payments.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["txn_id"])
 
 
-def stream_alert_keys(payments: DataFrame, cfg: dict = RULES, lateness: str = LATENESS) -> DataFrame:
-    """One high-value alert per customer and day across all batches: the first to arrive."""
-    threshold = float(cfg["high_value"]["threshold_eur"])
+def alert_window(window_type: Column, ts: Column) -> Column:
+    """Start of the window an alert belongs to."""
     return (
-        payments.filter(F.col("amount_eur") > threshold)
-        .select(
-            alert_subject().alias("customer_id"),
-            F.lit("high_value").alias("rule_name"),
-            F.date_trunc("day", "ts").alias("window_start"),
-            "ts",
-        )
-        .filter(F.col("customer_id").isNotNull())
-        .withWatermark("ts", lateness)
+        F.when(window_type == "weekly", window_start(ts, "weekly"))
+        .when(window_type == "monthly", window_start(ts, "monthly"))
+        .otherwise(window_start(ts, "daily"))
+    )
+
+
+def stream_alert_keys(alerts: DataFrame, memory: str = ALERT_MEMORY) -> DataFrame:
+    """One alert per customer, rule and window across all batches, whatever the rule: the first to arrive.
+
+    ``memory`` counts from the time of flagging and must exceed the longest window; state is one row per key
+    and is evicted afterwards. Alerts on a dormant account are raised per payment and have no window key.
+    """
+    return (
+        alerts.filter(F.col("customer_id").isNotNull() & (F.col("rule_name") != "dormant_reactivation"))
+        .select("customer_id", "rule_name", alert_window(F.col("window_type"), F.col("ts")).alias("window_start"), "flagged_at")
+        .withWatermark("flagged_at", memory)
         .dropDuplicatesWithinWatermark(["customer_id", "rule_name", "window_start"])
     )
 
