@@ -14,7 +14,7 @@ from tidewarden.session import scratch_path
 #: Fixed by the result contracts: a word is a run of anything but these characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Text bytes handled at a time inside a task; bounds a worker's memory, not the work.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ TRAIN_DOCS = 500
 MIN_SEEN = 8
 MAX_NODES = 65_535
 UNKNOWN = "und"
+#: Text bytes scored at a time; bounds a worker's memory whatever a text's length, and changes no result.
+PIECE_BYTES = 1 << 18
 #: Every text is read as if these bytes stood before it, so that its first bytes have a context too.
 LEAD = b"\n" * ORDER
 
@@ -147,10 +149,10 @@ def learn(
     return grow_trees([(r["lang"], bytes(r["context"]), r["bytes"], r["counts"]) for r in rows])
 
 
-def code_lengths(trees: ContextTrees, node_of: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Bits of each text under each language."""
-    sizes = np.array([len(t) for t in texts])
-    stream = np.frombuffer(LEAD + LEAD.join(texts), np.uint8)
+def _piece_lengths(trees: ContextTrees, node_of: np.ndarray, leads: list[bytes], pieces: list[bytes]) -> np.ndarray:
+    """Bits of each piece of text after its ORDER lead bytes, under each language; no piece is empty."""
+    sizes = np.array([len(p) for p in pieces])
+    stream = np.frombuffer(b"".join(x for pair in zip(leads, pieces, strict=True) for x in pair), np.uint8)
     code = np.zeros(len(stream) - ORDER, np.uint32)
     for k in range(ORDER):
         code = (code << np.uint32(8)) | stream[k : k + len(code)]
@@ -159,11 +161,36 @@ def code_lengths(trees: ContextTrees, node_of: np.ndarray, texts: list[bytes]) -
     for k in range(ORDER):
         own[(starts + sizes + k)[:-1]] = False
     row = node_of[code[own]].astype(np.int64) * 256 + stream[ORDER:][own]
+    edges = np.cumsum([0, *sizes[:-1]])
+    return np.add.reduceat(trees.bits[row].astype(np.float32), edges, axis=0, dtype=np.float64)
+
+
+def code_lengths(trees: ContextTrees, node_of: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Bits of each whole text under each language, summed over pieces of at most PIECE_BYTES."""
     out = np.zeros((len(texts), len(trees.languages)))
-    full = np.flatnonzero(sizes)
-    if len(full):
-        edges = np.cumsum([0, *sizes[full][:-1]])
-        out[full] = np.add.reduceat(trees.bits[row].astype(np.float32), edges, axis=0, dtype=np.float64)
+    at: list[int] = []
+    leads: list[bytes] = []
+    pieces: list[bytes] = []
+    held = 0
+
+    def add() -> None:
+        nonlocal held
+        if pieces:
+            np.add.at(out, at, _piece_lengths(trees, node_of, leads, pieces))
+        for part in (at, leads, pieces):
+            part.clear()
+        held = 0
+
+    for i, text in enumerate(texts):
+        for start in range(0, len(text), PIECE_BYTES):
+            piece = text[start : start + PIECE_BYTES]
+            if held + len(piece) > PIECE_BYTES:
+                add()
+            at.append(i)
+            leads.append(text[start - ORDER : start] if start else LEAD)
+            pieces.append(piece)
+            held += len(piece)
+    add()
     return out
 
 
