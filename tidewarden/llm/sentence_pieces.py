@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tidewarden.llm.common import slices
 
 MARK = "▁"
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 250_000
 #: Texts on which the table must give the library's ids before a model is used with it.
 PROBES = ("a", " a", "a ", "  a  b ", " ", "   ", f"a{MARK}b {MARK}", "a\nb\t c　d", "①ﬁ é \0")
 
