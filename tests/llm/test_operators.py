@@ -154,6 +154,30 @@ def test_html(html, text):
     assert html_text.main_text(html or "") == text
 
 
+def _words(mark: str, size: int) -> str:
+    return " ".join([mark * 4] * (size // 5))
+
+
+A, B, C = _words("a", 500), _words("b", 300), _words("c", 250)
+LINKS = "<div><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></div>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<div id=post><div><p>{A}</p><p>{B}</p></div><div><p>{C}</p></div></div>",
+        f"<div><div><p>{A}</p></div><div><p>{B[:60]}</p></div><div><p>{C[:40]}</p></div></div>",
+        f"<article><p>{A}</p></article><article><p>{C}</p></article>",
+        f"<article><p>{A}</p></article><div><p>{B}</p></div><article><p>{C[:40]}</p></article>",
+    ],
+    ids=["sections", "wrapped", "articles", "between"],
+)
+def test_html_keeps_all_regions(html):
+    whole = " ".join(re.sub("<[^>]*>", " ", html).split())
+    assert html_text.main_text(html) == whole
+    assert html_text.main_text(f"<body>{LINKS}{html}{LINKS}</body>") == whole
+
+
 def test_pages_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "u", "<article>x y</article>", 7), (2, None, None, None)], "page_id int, url string, html string, n int")
     assert sorted(map(tuple, html_text.extract(df).collect())) == [(1, "u", 7, "x y"), (2, None, None, "")]

@@ -3,10 +3,11 @@
 The standard library's parser reads a page piece by piece. Its events fill lines, one per block of text, each
 with its characters, its tags and the elements it lies in. The ratio of characters to tags is smoothed over the
 lines with a Gaussian, and a threshold found by clustering the smoothed ratios around two centres selects lines
-that look like content. They decide which element is the article: an ``article`` or ``main`` element with most of
-the selected characters, else the innermost element that holds most of them. Its lines are the main text, short
-ones included; menus, headers of the page, footers, sidebars, forms, notices, adverts, comments, scripts and
-styles never count, wherever they stand.
+that look like content. Where ``article`` or ``main`` elements hold at least half of the selected characters, the
+main text is all of these elements, every selected line outside them and the lines between. Elsewhere it is the
+innermost element around all selected lines and the lines outside it. Lines between or outside that are mostly links
+do not count. Short lines are included; menus, headers of the page, footers, sidebars, forms, notices, adverts,
+comments, scripts and styles never count, wherever they stand.
 
 Pages are independent of each other, so Spark reads and extracts them in one pass without a shuffle.
 
@@ -47,8 +48,7 @@ NOT_CONTENT = frozenset(
 )
 ARTICLE = frozenset(("article", "main"))
 SIGMA, REACH = 1.0, 2
-#: Share of the selected characters that an element must hold to be the article.
-MOST = 0.6
+PARAGRAPH = frozenset("p li td h1 h2 h3 blockquote".split())
 PIECE = 1 << 16
 
 
@@ -65,6 +65,11 @@ class Line:
     element: Element
     parts: list[str] = field(default_factory=list)
     tags: int = 0
+    linked: int = 0
+
+    def is_links(self) -> bool:
+        """Whether over half of the characters are links, as in a menu."""
+        return 2 * self.linked > sum(len("".join(part.split())) for part in self.parts)
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -83,6 +88,7 @@ class LineReader(HTMLParser):
         self.root = self.open = Element("", None, False, False)
         self.lines: list[Line] = []
         self.line = Line(self.root)
+        self.link = False
 
     def break_line(self) -> None:
         if self.line.parts:
@@ -93,6 +99,8 @@ class LineReader(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.line.tags += 1
+        if tag == "a":
+            self.link = any(k == "href" for k, _ in attrs)
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.line.parts.append(" ")
@@ -128,6 +136,8 @@ class LineReader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.line.tags += 1
+        if tag == "a":
+            self.link = False
         if tag == "p" or tag not in VOID:
             self.close(tag)
 
@@ -135,6 +145,8 @@ class LineReader(HTMLParser):
         if not self.line.parts:
             self.line.element = self.open
         self.line.parts.append(data)
+        if self.link:
+            self.line.linked += len("".join(data.split()))
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -157,6 +169,40 @@ def threshold(ratios: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _chain(element: Element | None) -> list[Element]:
+    """The element and all around it, outermost first."""
+    chain = []
+    while element is not None:
+        chain.append(element)
+        element = element.parent
+    return chain[::-1]
+
+
+def _kept(lines: list[Line], chosen: np.ndarray) -> list[bool]:
+    """Whether each line is in the article, given its selected characters."""
+    links = np.array([line.is_links() for line in lines])
+    in_article = np.array([line.element.article and not line.element.left_out for line in lines])
+    if 2 * chosen[in_article].sum() >= chosen.sum():
+        core = in_article | ((chosen > 0) & ~links)
+        at = np.flatnonzero(core)
+        between = np.zeros(len(lines), bool)
+        between[at[0] : at[-1] + 1] = True
+        return list(core | (between & ~links))
+    # The innermost element around all selected lines; a menu is selected only for the text it stands next to.
+    picked = chosen > 0
+    picked = picked & ~links if (picked & ~links).any() else picked
+    picked = [lines[i].element for i in np.flatnonzero(picked)]
+    shared = _chain(picked[0])
+    for element in picked[1:]:
+        chain = _chain(element)
+        same = [a is b for a, b in zip(shared, chain, strict=False)]
+        shared = shared[: same.index(False) if False in same else len(same)]
+    around = shared[-1]
+    if around.tag in PARAGRAPH and around.parent is not None:
+        around = around.parent
+    return [not link or any(e is around for e in _chain(line.element)) for line, link in zip(lines, links, strict=True)]
+
+
 def main_text(html: str) -> str:
     """The text of the page's article."""
     reader = LineReader()
@@ -174,39 +220,8 @@ def main_text(html: str) -> str:
     ratios = smoothed(sizes / np.maximum(1, [line.tags for line, _ in lines]))
     chosen = np.where(ratios >= threshold(ratios), sizes, 0.0)
     chosen = chosen if chosen.any() else sizes
-    mass: dict[int, float] = {}
-    held: dict[int, Element] = {}
-    depth: dict[int, int] = {}
-    for (line, _), size in zip(lines, chosen, strict=True):
-        chain, at = [], line.element
-        while at is not None:
-            chain.append(at)
-            at = at.parent
-        for k, element in enumerate(reversed(chain)):
-            mass[id(element)] = mass.get(id(element), 0.0) + size
-            held[id(element)], depth[id(element)] = element, k
-    whole = mass[id(reader.root)]
-    candidates = [i for i, e in held.items() if e.article and not (e.parent and e.parent.article) and mass[i] > 0]
-    if candidates and sum(mass[i] for i in candidates) >= MOST * whole:
-        keep = {i for i in candidates}
-        if not any(mass[i] >= MOST * whole for i in candidates):
-            keep = set(candidates)
-        else:
-            keep = {max(candidates, key=lambda i: (mass[i], -depth[i]))}
-    else:
-        keep = {max((i for i in mass if mass[i] >= MOST * whole), key=lambda i: (depth[i], mass[i]))}
-        if held[next(iter(keep))].tag in ("p", "li", "td", "h1", "h2", "h3", "blockquote"):
-            parent = held[next(iter(keep))].parent
-            keep = {id(parent)} if parent is not None else keep
-
-    def inside(element: Element | None) -> bool:
-        while element is not None:
-            if id(element) in keep:
-                return True
-            element = element.parent
-        return False
-
-    return " ".join(text for line, text in lines if not line.element.left_out and inside(line.element))
+    kept = _kept([line for line, _ in lines], chosen)
+    return " ".join(text for (line, text), keep in zip(lines, kept, strict=True) if keep and not line.element.left_out)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
