@@ -178,6 +178,25 @@ def test_html_keeps_all_regions(html):
     assert html_text.main_text(f"<body>{LINKS}{html}{LINKS}</body>") == whole
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<body class=has-sidebar>{}</body>", '<div class="layout-with-sidebar">{}</div>', "<article class=comments-open>{}</article>",
+        "<main class=search-result>{}</main>", "<html class=menu><body id=search>{}</body></html>", "<article class=promo>{}</article>",
+        "<body><form action=/page>{}</form></body>", "<div id=search>{}</div>", "<form><div class=related>{}</div></form>",
+    ],
+)
+def test_html_names_do_not_empty_pages(html):
+    page = html.format(f"<h1>Title</h1><p>{A}</p><div class=comments><p>{C}</p></div><div class=ad_banner>Buy now</div><p>{B}</p>")
+    assert html_text.main_text(page) == f"Title {A} {B}"
+
+
+def test_html_small_form_and_comments_stay_out():
+    page = f"<main><p>{C[:60]}</p><div class=comments><p>{A * 9}</p></div></main><form><p>{B}</p></form>"
+    assert html_text.main_text(page) == C[:60].strip()
+    assert html_text.main_text(f"<div><p>{A}</p></div><form><p>{C[:40]}</p></form>") == A
+
+
 def test_pages_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "u", "<article>x y</article>", 7), (2, None, None, None)], "page_id int, url string, html string, n int")
     assert sorted(map(tuple, html_text.extract(df).collect())) == [(1, "u", 7, "x y"), (2, None, None, "")]

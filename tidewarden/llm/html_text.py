@@ -9,6 +9,10 @@ innermost element around all selected lines and the lines outside it. Lines betw
 do not count. Short lines are included; menus, headers of the page, footers, sidebars, forms, notices, adverts,
 comments, scripts and styles never count, wherever they stand.
 
+Class, id and role values name such blocks as whole values, and never the page, its body, an article or a main
+element. A form with most of the selected characters is content, and so is a named block with nearly all of them,
+as long as no article or main element outside it has text.
+
 Pages are independent of each other, so Spark reads and extracts them in one pass without a shuffle.
 
 Defined cases: null and empty pages, pages without text and pages that consist of left-out elements only have an
@@ -37,16 +41,28 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var".split()
 )
 LEFT_OUT = frozenset(
-    "head title script style noscript template nav footer aside form button select option textarea iframe object "
+    "head title script style noscript template nav footer aside button select option textarea iframe object "
     "svg canvas dialog menu".split()
 )
+# Compared with whole values, "_" read as "-".
 NOT_CONTENT = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies "
     "consent disclaimer footer form menu modal nav navbar navigation newsletter notice notices popup promo "
     "promotion related search share sharing sidebar social sponsor sponsored subscribe toolbar widget "
-    "complementary contentinfo dialog alert".split()
+    "complementary contentinfo dialog alert "
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad breadcrumb-nav comment-body comment-form "
+    "comment-list comments-area comments-list comments-section cookie-banner cookie-bar cookie-consent cookie-notice "
+    "footer-nav left-sidebar main-menu main-nav nav-bar nav-menu newsletter-signup page-footer popup-overlay "
+    "primary-nav promo-box related-articles related-links related-posts right-sidebar search-box search-form "
+    "share-bar share-buttons share-links side-bar sidebar-left sidebar-right site-footer site-nav social-icons "
+    "social-links social-share sponsored-content sub-menu top-menu top-nav".split()
 )
 ARTICLE = frozenset(("article", "main"))
+ARTICLE_NAMES = frozenset("main main-content articlebody article-body".split())
+#: No name leaves these out.
+UNNAMED = ARTICLE | {"html", "body"}
+#: Share of the selected characters over which a form, or a block named as no content, is content all the same.
+FORM_SHARE, NAMED_SHARE = 0.5, 0.9
 SIGMA, REACH = 1.0, 2
 PARAGRAPH = frozenset("p li td h1 h2 h3 blockquote".split())
 PIECE = 1 << 16
@@ -58,6 +74,17 @@ class Element:
     parent: Element | None
     left_out: bool
     article: bool
+    share: float | None = None
+    counts: bool = False
+
+    def out(self) -> bool:
+        """Whether the element lies in something left out, forms and named blocks that count apart."""
+        at: Element | None = self
+        while at is not None:
+            if at.left_out or (at.share is not None and not at.counts):
+                return True
+            at = at.parent
+        return False
 
 
 @dataclass
@@ -77,7 +104,7 @@ class Line:
 
 def _names(attrs: list[tuple[str, str | None]]) -> set[str]:
     values = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
-    return set(values.replace("_", " ").replace("-", " ").split())
+    return set(values.replace("_", "-").split())
 
 
 class LineReader(HTMLParser):
@@ -89,6 +116,8 @@ class LineReader(HTMLParser):
         self.lines: list[Line] = []
         self.line = Line(self.root)
         self.link = False
+        #: Forms and named blocks, outer ones first.
+        self.doubtful: list[Element] = []
 
     def break_line(self) -> None:
         if self.line.parts:
@@ -107,14 +136,18 @@ class LineReader(HTMLParser):
             return
         names = _names(attrs)
         in_article = self.open.article
-        left_out = self.open.left_out or tag in LEFT_OUT or bool(names & NOT_CONTENT) or (tag == "header" and not in_article)
-        article = in_article or tag in ARTICLE or "main" in names or "articlebody" in names
-        if tag in INLINE and left_out == self.open.left_out:
+        left_out = self.open.left_out or tag in LEFT_OUT or (tag == "header" and not in_article)
+        named = bool(names & NOT_CONTENT) and tag not in UNNAMED
+        share = NAMED_SHARE if named else FORM_SHARE if tag == "form" else None
+        article = in_article or tag in ARTICLE or bool(names & ARTICLE_NAMES)
+        if tag in INLINE and (share is None or self.open.left_out):
             return
         if tag == "p":
             # A paragraph ends the one before it.
             self.close("p", {"div", "section", "td", "th", "li", "blockquote", *ARTICLE})
-        self.open = Element(tag, self.open, left_out, article)
+        self.open = Element(tag, self.open, left_out, article, share)
+        if share is not None and not left_out:
+            self.doubtful.append(self.open)
         self.break_line()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -178,10 +211,34 @@ def _chain(element: Element | None) -> list[Element]:
     return chain[::-1]
 
 
+def _selected(lines: list[Line], sizes: np.ndarray) -> np.ndarray:
+    """The characters of the lines that look like content, zero for the others."""
+    ratios = smoothed(sizes / np.maximum(1, [line.tags for line in lines]))
+    chosen = np.where(ratios >= threshold(ratios), sizes, 0.0)
+    return chosen if chosen.any() else sizes
+
+
+def _count_blocks(doubtful: list[Element], lines: list[Line], texts: list[str]) -> None:
+    """Let forms and named blocks count that hold their share of the selected characters, unless the page has an article outside."""
+    sizes = np.array([0 if line.element.left_out else len(text) for line, text in zip(lines, texts, strict=True)], float)
+    if not doubtful or not sizes.any():
+        return
+    chosen = _selected(lines, sizes)
+    mass: dict[int, float] = {}
+    for line, size in zip(lines, chosen, strict=True):
+        for element in _chain(line.element) if size else ():
+            mass[id(element)] = mass.get(id(element), 0.0) + size
+    for block in doubtful:
+        if mass.get(id(block), 0.0) <= block.share * chosen.sum() or block.parent.out():
+            continue
+        articles = (line.element for line in lines if line.element.article and not line.element.out())
+        block.counts = not any(all(e is not block for e in _chain(element)) for element in articles)
+
+
 def _kept(lines: list[Line], chosen: np.ndarray) -> list[bool]:
     """Whether each line is in the article, given its selected characters."""
     links = np.array([line.is_links() for line in lines])
-    in_article = np.array([line.element.article and not line.element.left_out for line in lines])
+    in_article = np.array([line.element.article and not line.element.out() for line in lines])
     if 2 * chosen[in_article].sum() >= chosen.sum():
         core = in_article | ((chosen > 0) & ~links)
         at = np.flatnonzero(core)
@@ -213,15 +270,14 @@ def main_text(html: str) -> str:
     lines = [(line, text) for line, text in zip(reader.lines, texts, strict=True) if text]
     if not lines:
         return ""
+    held, shown = [line for line, _ in lines], [text for _, text in lines]
+    _count_blocks(reader.doubtful, held, shown)
     # What is left out has no content characters, whatever its length.
-    sizes = np.array([0 if line.element.left_out else len(text) for line, text in lines], float)
+    sizes = np.array([0 if line.element.out() else len(text) for line, text in lines], float)
     if not sizes.any():
         return ""
-    ratios = smoothed(sizes / np.maximum(1, [line.tags for line, _ in lines]))
-    chosen = np.where(ratios >= threshold(ratios), sizes, 0.0)
-    chosen = chosen if chosen.any() else sizes
-    kept = _kept([line for line, _ in lines], chosen)
-    return " ".join(text for (line, text), keep in zip(lines, kept, strict=True) if keep and not line.element.left_out)
+    kept = _kept(held, _selected(held, sizes))
+    return " ".join(text for text, keep, size in zip(shown, kept, sizes, strict=True) if keep and size)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
