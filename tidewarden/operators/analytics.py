@@ -329,11 +329,18 @@ def search_customers(customers: DataFrame, q: str, limit: int | None = 20) -> Da
     return page(customers.filter(hit).select(*columns), [F.asc("customer_id")], limit)
 
 
+def _cuts(text: Column, size: int) -> Column:
+    """The substrings of ``size`` characters from every place of the text, shorter ones at its end.
+
+    The lambda has one parameter: a second one, even with a default, would be given the index.
+    """
+    spots = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.transform(spots, lambda i: F.substring(text, i, F.lit(size)))
+
+
 def _grams(text: Column) -> Column:
     """All substrings of one to three characters, and the empty one."""
-    spots = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    parts = [F.transform(spots, lambda i, n=n: F.substring(text, i, F.lit(n))) for n in (1, 2, 3)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *parts))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[_cuts(text, n) for n in (1, 2, 3)]))
 
 
 def _anchor(pattern: Column) -> Column:
@@ -343,11 +350,22 @@ def _anchor(pattern: Column) -> Column:
     return F.right(longest, F.lit(3))
 
 
+#: Search texts of up to so many characters are looked up as a whole.
+LOOKUP_CHARS = 64
+
+
+def _substrings(text: Column, lengths: list[int]) -> Column:
+    """All different substrings of the given lengths, and some shorter ones."""
+    return F.array_distinct(F.concat(*[_cuts(text, n) for n in lengths]))
+
+
 def resolve_targets(queries: DataFrame, customers: DataFrame, flags: DataFrame) -> DataFrame:
     """Resolve search texts in bulk: customer id, else newest alert of a payment, else part of a name.
 
-    All three matches are equi joins. For the name search, customers are looked up by short substrings
-    and the hits are then checked with ``ILIKE``, so no text is compared with every customer.
+    All matches are equi joins. A text without wildcards is looked up among the substrings of ids and names that
+    have the length of some text; each substring has its smallest customer id, found in every task before the
+    shuffle, so one that all customers share costs a row per task and no text meets more than one row. For texts
+    with wildcards, customers are looked up by the short substrings that such a text asks for and checked with ``ILIKE``.
     """
     asked = queries.select("q", F.trim("q").alias("sid")).filter(F.col("sid") != "").distinct()
     by_id = (
@@ -362,14 +380,23 @@ def resolve_targets(queries: DataFrame, customers: DataFrame, flags: DataFrame)
     by_alert = left.join(newest, F.col("sid") == F.col("txn_id")).select(
         "q", "sid", F.lit("alert").alias("mode"), "f.customer_id", "txn_id", "f.rule_name"
     )
-    left = left.join(by_alert.select("q"), "q", "left_anti").withColumn("gram", _anchor(F.lower("sid")))
+    left = left.join(by_alert.select("q"), "q", "left_anti").withColumn("part", F.lower("sid"))
+    plain = ~F.col("sid").rlike(r"[%_\\\\]") & (F.length("part") <= LOOKUP_CHARS)
+    wanted = asked.select(F.length(F.lower("sid")).alias("n")).filter(F.col("n") <= LOOKUP_CHARS)
+    lengths = sorted(row["n"] for row in wanted.distinct().collect()) or [1]
+    both = F.array_union(
+        _substrings(F.lower("customer_id"), lengths), _substrings(F.lower(F.coalesce("name", F.lit(""))), lengths)
+    )
+    index = customers.select("customer_id", F.explode(both).alias("part")).groupBy("part").agg(F.min("customer_id").alias("customer_id"))
+    by_part = left.filter(plain).join(index, "part").select("q", "sid", F.lit("customer").alias("mode"), "customer_id")
+    left = left.filter(~plain).withColumn("gram", _anchor(F.col("part")))
     named = customers.select(
         F.col("customer_id").alias("found"),
         "name",
         F.explode(
             F.array_union(_grams(F.lower("customer_id")), _grams(F.lower(F.coalesce("name", F.lit("")))))
         ).alias("gram"),
-    )
+    ).join(left.select("gram").distinct(), "gram", "left_semi")
     like = F.expr("name ILIKE concat('%', sid, '%') OR found ILIKE concat('%', sid, '%')")
     by_name = (
         named.join(left, "gram")
@@ -380,6 +407,7 @@ def resolve_targets(queries: DataFrame, customers: DataFrame, flags: DataFrame)
     )
     return (
         by_id.unionByName(by_alert, allowMissingColumns=True)
+        .unionByName(by_part, allowMissingColumns=True)
         .unionByName(by_name, allowMissingColumns=True)
         .select("q", "mode", "customer_id", "txn_id", "rule_name")
     )

@@ -739,6 +739,15 @@ _BODY: dict[str, str] = {
         "LEFT JOIN (SELECT * FROM flags QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY flagged_at DESC, rule_name) = 1) f ON f.txn_id = q "
         "WHERE cid IS NOT NULL OR f.txn_id IS NOT NULL OR nm IS NOT NULL"
     ),
+    "resolve_targets_all": (
+        "SELECT q, CASE WHEN cid IS NOT NULL THEN 'customer' WHEN f.txn_id IS NOT NULL THEN 'alert' ELSE 'customer' END AS mode, coalesce(cid, f.customer_id, nm) AS customer_id, "
+        "CASE WHEN cid IS NULL THEN f.txn_id END AS txn_id, CASE WHEN cid IS NULL THEN f.rule_name END AS rule_name FROM (SELECT q, "
+        "(SELECT min(customer_id) FROM cust WHERE customer_id = q AND upper(q) LIKE 'CUST-%') AS cid, "
+        "(SELECT min(customer_id) FROM cust WHERE customer_id ILIKE '%' || q || '%' OR name ILIKE '%' || q || '%') AS nm FROM ("
+        "SELECT customer_id AS q FROM cust UNION SELECT txn_id FROM wire UNION SELECT right(name, 5) FROM cust)) t "
+        "LEFT JOIN (SELECT * FROM flags QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY flagged_at DESC, rule_name) = 1) f ON f.txn_id = q "
+        "WHERE cid IS NOT NULL OR f.txn_id IS NOT NULL OR nm IS NOT NULL"
+    ),
     "customer_txns": f"SELECT {_TXN_PAGE} FROM txn WHERE sender_id = {ONE} OR receiver_customer_no = {ONE} ORDER BY ts DESC, txn_id LIMIT 100",
     "customer_txns_30d": f"SELECT {_TXN_PAGE} FROM txn WHERE (sender_id = {ONE} OR receiver_customer_no = {ONE}) AND ts >= {_SINCE30}",
     "live_txns": f"SELECT {_TXN_PAGE} FROM txn ORDER BY ingested_at DESC, txn_id LIMIT 25 OFFSET 50",

@@ -305,6 +305,14 @@ def _targets(w: Workspace) -> DataFrame:
     return analytics.resolve_targets(ids.union(payments).union(names), w.customers, w.flags)
 
 
+def _all_targets(w: Workspace) -> DataFrame:
+    """Every customer id, every payment id and the end of every name as search texts."""
+    ids = w.customers.select(F.col("customer_id").alias("q"))
+    payments = w.events.select(F.col("event_id").cast("string").alias("q"))
+    names = w.customers.select(F.right("name", F.lit(5)).alias("q"))
+    return analytics.resolve_targets(ids.union(payments).union(names), w.customers, w.flags)
+
+
 def _retention_tables(w: Workspace) -> dict[str, DataFrame]:
     return {
         "transactions": w.txns,
@@ -648,6 +656,7 @@ QUERIES: dict[str, Query] = {
     "recent_sent": lambda w: analytics.recent_sent(w.txns, ONE_CUSTOMER),
     "search_customers": lambda w: analytics.search_customers(w.customers, "00001"),
     "resolve_targets": _targets,
+    "resolve_targets_all": _all_targets,
     "customer_txns": lambda w: analytics.customer_txns(w.txns, ONE_CUSTOMER),
     "customer_txns_30d": lambda w: analytics.customer_txns(w.txns, ONE_CUSTOMER, w.as_of, None),
     "live_txns": lambda w: analytics.live_txns(w.txns, 25, 50),
