@@ -313,6 +313,21 @@ def test_near_duplicates(spark, texts):
     assert sorted(tuple(r) for r in got) == want
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    word = lambda n: " ".join(hashlib.md5(f"{n} {i}".encode()).hexdigest()[:6] for i in range(40))
+    a, b, c, d = (word(n) for n in "abcd")
+    rows = [(1, a), (1, b), (2, b), (3, a), (1, a), (4, c), (5, c.upper()), (None, d), (None, a), (6, d)]
+    df = spark.createDataFrame(rows, DDL)
+    assert len({brute_simhash(t) for t in (a, b, c, d)}) == 4
+    want = Counter([(1, a), (1, b), (4, c), (6, d), (None, d), (None, a)])
+    for order in ([F.asc("text")], [F.desc("text")]):
+        kept = simhash_dedup.keep_one(df.coalesce(1).sortWithinPartitions(*order))
+        assert Counter(map(tuple, kept.collect())) == want
+    same = [(1, c), (1, c.upper()), (2, c)]
+    kept = simhash_dedup.keep_one(spark.createDataFrame(same, DDL)).collect()
+    assert [tuple(r) for r in kept] == [min(same[:2], key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())]
+
+
 def test_index_finds_all_links(spark):
     random.seed(7)
     prints = set()

@@ -184,25 +184,43 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "bits bigint, other bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
-    prints = stored(fingerprints(docs, doc_id, text), "simhash")
+def _named(prints: DataFrame) -> DataFrame:
+    """(bits, root, least, component_id): each fingerprint with its component's root and smallest id."""
     least = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
     roots = components(links(prints.select("bits").distinct()))
     # One row per fingerprint from here on, however many documents have it.
     rooted = least.join(roots.withColumnRenamed("node", "bits"), "bits", "left")
     rooted = rooted.select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return prints.join(named.select("bits", "component_id"), "bits").select(
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
+    prints = stored(fingerprints(docs, doc_id, text), "simhash")
+    return prints.join(_named(prints).select("bits", "component_id"), "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def _text_hash(text: str) -> Column:
+    return F.sha2(text_bytes(text), 256)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one with the component's id, one row of it if it is repeated.
 
-    Documents with a null id stay: nothing names the copy to prefer.
+    If several texts of one component have that id, the one with the smallest SHA-256 stays. An id with texts in
+    several components is chosen in each of them apart. Documents with a null id stay: nothing names the copy to prefer.
     """
-    found = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id"))
-    kept = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    named = docs.where(F.col("doc_id").isNotNull())
+    hashed = named.select("doc_id", _text_hash("text").alias("digest"), "text")
+    prints = stored(fingerprints(hashed.select(F.struct("doc_id", "digest").alias("doc_id"), "text")), "simhash-kept")
+    rows = prints.select("doc_id.doc_id", "doc_id.digest", "bits")
+    # The root stands for the component; null ids link texts as well but are never chosen.
+    everywhere = stored(fingerprints(docs.where(F.col("doc_id").isNull())), "simhash-null").select("doc_id", "bits")
+    roots = _named(rows.select("doc_id", "bits").union(everywhere)).select("bits", "root")
+    chosen = rows.join(roots, "bits").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    chosen = chosen.select("first.doc_id", "first.digest").distinct()
+    kept = named.withColumn("digest", _text_hash("text")).join(chosen, ["doc_id", "digest"], "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "digest"]).select(*docs.columns)
+    return kept.union(docs.where(F.col("doc_id").isNull()).select(*docs.columns))
