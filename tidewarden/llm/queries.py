@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewarden.llm import (
+    centroid_clusters,
     decontamination,
     html_text,
     language_id,
@@ -15,6 +16,7 @@ from tidewarden.llm import (
     substring_dedup,
     token_counts,
     toxicity,
+    url_filter,
 )
 from tidewarden.llm.common import documents
 from tidewarden.session import scratch_path
@@ -70,12 +72,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sentence_pieces, op2_language_id, op3_html_text, op4_decontamination, op5_sharding,
         op6_token_counts, op7_simhash_dedup, op8_quality_rules, op9_substring_dedup, op10_toxicity,
+        op12_centroid_clusters, op13_url_filter,
     )
 }
 #: Operators whose rows SQL can give on whole tables in reasonable time; the others are tested by brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_centroid_clusters": centroid_clusters.ORACLE}
