@@ -9,6 +9,7 @@ from tidewarden.llm import (
     decontamination,
     html_text,
     language_id,
+    periodic_runs,
     quality_rules,
     sentence_pieces,
     sharding,
@@ -72,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(documents(spark, sf_dir))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.clustered(_table(spark, sf_dir, "embeddings"))
 
@@ -85,7 +90,7 @@ QUERIES = {
     for f in (
         op1_sentence_pieces, op2_language_id, op3_html_text, op4_decontamination, op5_sharding,
         op6_token_counts, op7_simhash_dedup, op8_quality_rules, op9_substring_dedup, op10_toxicity,
-        op12_centroid_clusters, op13_url_filter,
+        op11_periodic_runs, op12_centroid_clusters, op13_url_filter,
     )
 }
 #: Operators whose rows SQL can give on whole tables in reasonable time; the others are tested by brute force.

@@ -178,8 +178,11 @@ def fit(rows: DataFrame) -> GBTClassificationModel | None:
     train = stored(_vectors(rows).select("label", "features"), "url-train")
     if train.isEmpty():
         return None
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED)
-    return model.fit(train)
+    # A third of the features at each split, so that one sign of a few known hosts does not hide the others.
+    trees = GBTClassifier(
+        labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, featureSubsetStrategy="onethird"
+    )
+    return trees.fit(train)
 
 
 def scored(rows: DataFrame, model: GBTClassificationModel | None) -> DataFrame:
