@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewarden.llm import sentence_pieces
-from tidewarden.llm.common import stored
+from tidewarden.llm.common import slices, stored
 
 BLOCK_TOKENS = 1 << 19
 GROUP = 1024
@@ -38,6 +38,38 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def _blocks(parts: Iterator[tuple[list[int | None], np.ndarray, np.ndarray]], kind: str, block_tokens: int) -> Iterator[pa.RecordBatch]:
+    """One task's file from parts (document ids, edges between the documents, ids of all)."""
+    file = TaskContext.get().partitionId()
+    held = np.empty(0, kind)
+    block = ended = 0
+    # Documents whose last token is not yet written, with the tokens still to come before their end.
+    waiting: list[tuple[int | None, int]] = []
+
+    def row(tokens: np.ndarray) -> pa.RecordBatch:
+        nonlocal waiting, ended, block
+        done = [d for d, end in waiting if end <= len(tokens)]
+        waiting = [(d, end - len(tokens)) for d, end in waiting if end > len(tokens)]
+        columns = [
+            pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([tokens.tobytes()], pa.binary()),
+            pa.array([ended], pa.int64()), pa.array([done], pa.list_(pa.int64())),
+        ]
+        ended, block = ended + len(done), block + 1
+        return pa.RecordBatch.from_arrays(columns, ["file", "block", "payload", "first_document", "doc_ids"])
+
+    for ids, edges, values in parts:
+        waiting += list(zip(ids, (len(held) + edges[1:]).tolist(), strict=True))
+        held = np.concatenate([held, values.astype(kind)])
+        while len(held) >= block_tokens:
+            yield row(held[:block_tokens])
+            held = held[block_tokens:]
+    if len(held):
+        yield row(held)
+
+
+_BLOCK = "file int, block int, payload binary, first_document bigint, doc_ids array<bigint>"
+
+
 def write_blocks(encoded: DataFrame, kind: str, block_tokens: int = BLOCK_TOKENS, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Flat files of documents whose ids end with the separator: one file per task.
 
@@ -46,35 +78,34 @@ def write_blocks(encoded: DataFrame, kind: str, block_tokens: int = BLOCK_TOKENS
     plain = encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = TaskContext.get().partitionId()
-        held = np.empty(0, kind)
-        block = ended = 0
-        # Documents whose last token is not yet written, with the tokens still to come before their end.
-        waiting: list[tuple[int | None, int]] = []
-
-        def row(tokens: np.ndarray) -> pa.RecordBatch:
-            nonlocal waiting, ended, block
-            done = [d for d, end in waiting if end <= len(tokens)]
-            waiting = [(d, end - len(tokens)) for d, end in waiting if end > len(tokens)]
-            columns = [
-                pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([tokens.tobytes()], pa.binary()),
-                pa.array([ended], pa.int64()), pa.array([done], pa.list_(pa.int64())),
-            ]
-            ended, block = ended + len(done), block + 1
-            return pa.RecordBatch.from_arrays(columns, ["file", "block", "payload", "first_document", "doc_ids"])
+        def parts():
+            for batch in batches:
+                lists = batch.column(1)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                values = lists.flatten().to_numpy(zero_copy_only=False)
+                yield batch.column(0).to_pylist(), np.concatenate([[0], np.cumsum(sizes)]), values
 
-        for batch in batches:
-            lists = batch.column(1)
-            ends = len(held) + np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            waiting += list(zip(batch.column(0).to_pylist(), ends.tolist(), strict=True))
-            held = np.concatenate([held, lists.flatten().to_numpy(zero_copy_only=False).astype(kind)])
-            while len(held) >= block_tokens:
-                yield row(held[:block_tokens])
-                held = held[block_tokens:]
-        if len(held):
-            yield row(held)
+        return _blocks(parts(), kind, block_tokens)
+
+    return plain.mapInArrow(run, _BLOCK)
+
+
+def write_text_blocks(docs: DataFrame, model: bytes, kind: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The files of ``write_blocks`` from (doc_id, text): encoded and cut in one worker, so no id list leaves it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    tabled = sentence_pieces.words_are_separate(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sentence_pieces.WordTable(shared.value, texts=False)
+
+        def parts():
+            for batch in slices(batches, 1):
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                yield batch.column(0).to_pylist(), *sentence_pieces.id_lists(table, texts, tabled, True)
+
+        return _blocks(parts(), kind, block_tokens)
 
-    return plain.mapInArrow(run, "file int, block int, payload binary, first_document bigint, doc_ids array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK)
 
 
 def scan_blocks(blocks: DataFrame, separator: int, kind: str) -> DataFrame:
@@ -146,8 +177,7 @@ def document_counts(docs: DataFrame, model: bytes) -> DataFrame:
     """Write all documents as flat token files, count by scanning them, and name the documents again."""
     pieces = sentence_pieces.sentencepiece.SentencePieceProcessor(model_proto=model)
     kind = id_type(pieces.get_piece_size())
-    encoded = sentence_pieces.encode(docs.select("doc_id", "text"), model).drop("text")
-    files = stored(write_blocks(encoded, kind), "tokens")
+    files = stored(write_text_blocks(docs, model, kind), "tokens")
     counts = count_tokens(files, pieces.eos_id(), kind)
     named = files.select("file", "first_document", F.posexplode_outer("doc_ids").alias("i", "doc_id")).where("i is not null")
     named = named.select("file", (F.col("first_document") + F.col("i")).alias("document"), "doc_id")
