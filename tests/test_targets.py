@@ -2,14 +2,16 @@
 
 import re
 
+import pytest
+
 from conftest import DATA
-from tidewarden.operators import analytics
+from tidewarden.operators import analytics, lookup
 from tidewarden.plans import registry
 from tidewarden.plans.workspace import Workspace
 
 CUSTOMERS = [("CUST-0000003", "Anna Öz"), ("CUST-0000001", "Bob%_x"), ("CUST-0000002", None), ("X-77", "annA cust-y"), ("X-78", "y" * 90)]
 TEXTS = [
-    "cust", "CUST-", "000000", "öz", " ANNA", "77", "a", "%x", "B_b", "cu%77", "nothing", " ", "st-0000002", "y" * 80, "y" * 95,
+    "cust", "CUST-", "0000003", "t-000000", "st-00%3", "%0000003", "a__-y", "____________", "_" * 90, "%_", "cust-y", "anna c", "000000", "öz", " ANNA", "77", "a", "%x", "B_b", "cu%77", "nothing", " ", "st-0000002", "y" * 80, "y" * 95,
     None, r"\%", "CUST-0000002", "%", "cust-0000002",
 ]
 
@@ -20,10 +22,20 @@ def _like(pattern: str, value: str | None) -> bool:
     return re.search("".join(wild.get(p) or re.escape(p[-1]) for p in parts), value or "", re.I | re.S) is not None
 
 
-def test_texts_match_like_a_scan_of_all_customers(spark):
+def _indexed(queries, customers, flags):
+    parts = lookup.build_parts(customers).cache()
+    return lookup.resolve_targets(queries, customers, flags, lookup.Index(parts, lookup.build_postings(customers, parts)))
+
+
+@pytest.mark.parametrize("shared", [None, 1000, 1, 0])
+def test_texts_match_like_a_scan_of_all_customers(spark, monkeypatch, shared):
+    """Without an index, with one, and with one all of whose grams are shared."""
+    if shared is not None:
+        monkeypatch.setattr(lookup, "SHARED", shared)
+    resolve = analytics.resolve_targets if shared is None else _indexed
     customers = spark.createDataFrame(CUSTOMERS, "customer_id string, name string")
     flags = spark.createDataFrame([], "txn_id string, rule_name string, customer_id string, flagged_at timestamp")
-    found = analytics.resolve_targets(spark.createDataFrame([(t,) for t in TEXTS], "q string"), customers, flags)
+    found = resolve(spark.createDataFrame([(t,) for t in TEXTS], "q string"), customers, flags)
     want = {}
     for q in TEXTS:
         sid = (q or "").strip(" ")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from tidewarden.plans import state_queries
+
 AS_OF = "TIMESTAMP '2024-01-30 23:59:59'"
 ACQ_AS_OF = "TIMESTAMP '2001-08-02 00:00:00'"
 ONE = "'CUST-0000012'"
@@ -963,4 +965,7 @@ for _name, _base, _metrics, _per in [
     _union = " UNION ALL ".join(f"({p})" for p in _rule_parts(_base, _metrics, _per))
     _BODY[_name] = f"SELECT {_FLAG_OUT} FROM ({_union}) WHERE customer_id IS NOT NULL"
 
-ORACLE: dict[str, str] = {n: (b if n == "upsert" else _sql(b)) for n, b in _BODY.items()}
+_BODY.update(state_queries.bodies(AS_OF))
+_BODY["keyed_table"] = _BODY["upsert"]
+
+ORACLE: dict[str, str] = {n: (b if n in ("upsert", "keyed_table") else _sql(b)) for n, b in _BODY.items()}

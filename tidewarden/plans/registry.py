@@ -18,6 +18,7 @@ from tidewarden.operators import (
     features,
     gold,
     iforest,
+    lookup,
     normalize,
     ops,
     quality,
@@ -28,6 +29,7 @@ from tidewarden.operators import (
     windows,
 )
 from tidewarden.operators.analytics import latest_per
+from tidewarden.plans import state_queries
 from tidewarden.plans.workspace import Workspace
 from tidewarden.session import cut_lineage, scratch_path
 from tidewarden.sources import binding, sinks, tables
@@ -302,7 +304,7 @@ def _targets(w: Workspace) -> DataFrame:
     names = w.customers.filter(text.customer_number(F.col("customer_id")) % 70 == 0).select(
         F.right("name", F.lit(5)).alias("q")
     )
-    return analytics.resolve_targets(ids.union(payments).union(names), w.customers, w.flags)
+    return lookup.resolve_targets(ids.union(payments).union(names), w.customers, w.flags, w.lookup)
 
 
 def _all_targets(w: Workspace) -> DataFrame:
@@ -310,7 +312,7 @@ def _all_targets(w: Workspace) -> DataFrame:
     ids = w.customers.select(F.col("customer_id").alias("q"))
     payments = w.events.select(F.col("event_id").cast("string").alias("q"))
     names = w.customers.select(F.right("name", F.lit(5)).alias("q"))
-    return analytics.resolve_targets(ids.union(payments).union(names), w.customers, w.flags)
+    return lookup.resolve_targets(ids.union(payments).union(names), w.customers, w.flags, w.lookup)
 
 
 def _retention_tables(w: Workspace) -> dict[str, DataFrame]:
@@ -753,6 +755,7 @@ QUERIES: dict[str, Query] = {
     "stream_alert_keys": _stream_alert_keys,
     "stream_enrich": _stream_enrich,
     "stream_pipeline": _stream_pipeline,
+    **state_queries.QUERIES,
 }
 
 

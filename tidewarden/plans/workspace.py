@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.config import RULES
-from tidewarden.operators import alerts, enrich, features, normalize, ops, rules, scoring, windows
+from tidewarden.operators import alerts, enrich, features, lookup, normalize, ops, rules, scoring, windows
 from tidewarden.session import scratch_path
 from tidewarden.sources import binding
 from tidewarden.sources.tables import read_table
@@ -169,6 +169,11 @@ class Workspace:
             .drop("hit")
         )
 
+    @cached_property
+    def lookup(self) -> lookup.Index:
+        parts = self._store("lookup_parts", lambda: lookup.build_parts(self.customers))
+        return lookup.Index(parts, self._store("lookup_postings", lambda: lookup.build_postings(self.customers, parts)))
+
     @cached_property
     def scored(self) -> DataFrame:
         """A deterministic score standing in for a model: log volume, min-max normalised."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewarden.functions.calendar import days_before
+from tidewarden.sources.versions import Version, VersionedTable
 
 EXPORT_KEEP_DAYS = 7
 
@@ -67,6 +68,24 @@ def export_gold(df: DataFrame, base: str, table: str, run_id: str) -> str:
     return run_path
 
 
+def publish_gold(df: DataFrame, base: str, table: str, run_id: str) -> Version:
+    """Write one run of a gold table and make it the current version, without a moment in which readers find none.
+
+    The current copy is read by ``VersionedTable(spark, f"{base}/{table}_current").read()``.
+    """
+    run_path = os.path.join(base, table, f"run_id={run_id}")
+    df.write.mode("overwrite").parquet(run_path)
+    return publish_snapshot(df.sparkSession.read.schema(df.schema).parquet(run_path), os.path.join(base, f"{table}_current"))
+
+
+def publish_snapshot(df: DataFrame, path: str, keep: int = 2) -> Version:
+    """Make ``df`` the current snapshot at ``path``; the last ``keep`` versions stay readable."""
+    table = VersionedTable(df.sparkSession, path)
+    version = table.publish(df)
+    table.vacuum(keep)
+    return version
+
+
 def prune_runs(listing: DataFrame, as_of, days: int = EXPORT_KEEP_DAYS) -> DataFrame:
     """Per table: how many exported runs are older than the limit and how many stay."""
     stale = F.coalesce(F.col("updated_at") < days_before(as_of, days), F.lit(False))
