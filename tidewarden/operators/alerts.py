@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,7 @@ from tidewarden.config import (
 )
 from tidewarden.functions.calendar import as_col, days_before, hours_before
 from tidewarden.operators.enrich import by_party
+from tidewarden.operators.heavy import salted_join
 from tidewarden.sources.sinks import upsert
 
 ALERT_KEY = ["txn_id", "rule_name"]
@@ -96,11 +99,11 @@ def apply_budget(
     return ranked.join(caps, "rule_name").filter("_rn <= cap").drop("_rn", "cap").select(*new.columns)
 
 
-def archive(alerts: DataFrame, txns: DataFrame, as_of) -> DataFrame:
+def archive(alerts: DataFrame, txns: DataFrame, as_of, heavy: Sequence = ()) -> DataFrame:
     """Every transaction of each alerted customer, one row per alert and transaction.
 
     Party rows of customers without an alert are dropped before the shuffle-heavy steps, and the OR
-    condition on sender / receiver becomes an equi join.
+    condition on sender / receiver becomes an equi join. The payments of ``heavy`` parties are dealt to several tasks.
     """
     raised = alerts.filter(F.col("customer_id").isNotNull()).select(
         F.col("txn_id").alias("alert_txn_id"), "rule_name", "flagged_at", "customer_id"
@@ -114,7 +117,7 @@ def archive(alerts: DataFrame, txns: DataFrame, as_of) -> DataFrame:
     )
     at = as_col(as_of)
     return (
-        raised.join(sided, raised["customer_id"] == sided["party_id"])
+        salted_join(sided, raised, "party_id", "customer_id", heavy)
         .drop("party_id")
         .withColumn("txn_ingested_at", F.coalesce("txn_ingested_at", at))
         .withColumn("archived_at", at)

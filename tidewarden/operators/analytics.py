@@ -15,7 +15,7 @@ from tidewarden.config import (
     KYC_PEP_POINTS,
     KYC_SEGMENT_POINTS,
 )
-from tidewarden.functions.calendar import days_before, hours_before, midnight
+from tidewarden.functions.calendar import as_col, days_before, hours_before, midnight
 from tidewarden.functions.money import per_thousand, percent
 from tidewarden.functions.text import customer_number
 from tidewarden.operators.alerts import page
@@ -116,6 +116,27 @@ def txn_trend(txns: DataFrame, as_of, days: int = 30) -> DataFrame:
     )
 
 
+def alert_grid(flags: DataFrame, as_of, days: int = 30) -> DataFrame:
+    """Alerts per day and rule without gaps, with the sum of the seven days up to each day.
+
+    Every rule that raised an alert in the span is given a row for each of its days; a day without alerts counts zero.
+    """
+    last = F.to_date(as_col(as_of))
+    first = F.date_sub(last, days - 1)
+    counted = (
+        flags.filter(F.to_date("flagged_at").between(first, last))
+        .groupBy("rule_name", F.to_date("flagged_at").alias("day"))
+        .agg(_rows().alias("n"))
+    )
+    every = counted.select("rule_name").distinct().withColumn("day", F.explode(F.sequence(first, last)))
+    week = Window.partitionBy("rule_name").orderBy("day").rowsBetween(-6, 0)
+    return (
+        every.join(counted, ["rule_name", "day"], "left")
+        .select("rule_name", "day", F.coalesce("n", F.lit(0)).alias("alerts"))
+        .withColumn("alerts_7d", F.sum("alerts").over(week))
+    )
+
+
 def alert_trend(flags: DataFrame, txns: DataFrame, as_of, days: int = 30) -> DataFrame:
     """Alerts by alert day against payments by event day."""
     since = days_before(as_of, days)
@@ -160,12 +181,12 @@ def segmentation(
         volumes = paid.groupBy(F.col("txn_type").alias("dim")).agg(
             _rows().alias("txn_count"), F.sum("amount_eur").alias("volume")
         )
-        alerts = (
-            raised.select("txn_id")
-            .join(txns.select("txn_id", F.col("txn_type").alias("dim")), "txn_id")
-            .groupBy("dim")
-            .agg(_rows().alias("alert_count"))
-        )
+        # An alert carries the time of its payment: the span of these times bounds the scan, and payments without an
+        # alert are dropped before the join.
+        first, last = raised.agg(F.min("ts"), F.max("ts")).first()
+        known = txns.filter(F.col("ts").between(F.lit(first), F.lit(last))).select("txn_id", F.col("txn_type").alias("dim"))
+        per_txn = raised.groupBy("txn_id").agg(_rows().alias("n"))
+        alerts = known.join(per_txn, "txn_id").groupBy("dim").agg(F.sum("n").alias("alert_count"))
     else:
         attribute = customers.select("customer_id", F.col(dim).alias("dim"))
         volumes = (

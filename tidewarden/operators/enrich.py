@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.config import ADDRESS_TYPES, CITIES
+from tidewarden.operators.heavy import salted_join
 
 _KYC = {
     "identity_no": "cust_identity_no",
@@ -67,10 +69,14 @@ def for_customers(txns: DataFrame, customers: DataFrame) -> DataFrame:
     return hits.dropDuplicates(["txn_id"])
 
 
-def party_join(alerts: DataFrame, txns: DataFrame) -> DataFrame:
-    """Every alert with every transaction of its customer, on either side."""
+def party_join(alerts: DataFrame, txns: DataFrame, heavy: Sequence = ()) -> DataFrame:
+    """Every alert with every transaction of its customer, on either side.
+
+    ``heavy`` names parties with a large share of the payments (see ``heavy.heavy_keys``); their payments are dealt to
+    several tasks.
+    """
     sided = by_party(txns.withColumnRenamed("txn_id", "party_txn_id"))
-    return alerts.join(sided, alerts["customer_id"] == sided["party_id"], "inner").drop("party_id")
+    return salted_join(sided, alerts, "party_id", "customer_id", heavy).drop("party_id")
 
 
 def missing_addresses(customers: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -83,22 +89,3 @@ def missing_addresses(customers: DataFrame, addresses: DataFrame) -> DataFrame:
     return wanted.join(addresses, ["customer_id", "address_type"], "left_anti").select(
         "customer_id", "country_code", "address_type"
     )
-
-
-def address_expand(customers: DataFrame) -> DataFrame:
-    """One to five addresses per customer; the customer's number fixes count, city and types."""
-    number = F.regexp_replace("customer_id", r"\D", "").try_cast("bigint")
-    types = F.array(*[F.lit(t) for t in ADDRESS_TYPES])
-    cities = F.array(*[F.lit(c) for c in CITIES])
-    return (
-        customers.select("customer_id", F.coalesce("country", F.lit("DE")).alias("country_code"), number.alias("g"))
-        .withColumn("n", F.explode(F.sequence(F.lit(1), (F.col("g") % 5 + 1).cast("int"))))
-        .select(
-            (F.col("g") * 10 + F.col("n")).alias("address_id"),
-            "customer_id",
-            F.element_at(cities, (F.col("g") % 10 + 1).cast("int")).alias("city"),
-            F.concat(F.lit("District "), ((F.col("g") + F.col("n")) % 20 + 1).cast("string")).alias("district"),
-            "country_code",
-            F.element_at(types, ((F.col("g") + F.col("n")) % 5 + 1).cast("int")).alias("address_type"),
-        )
-    )

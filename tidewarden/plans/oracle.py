@@ -967,5 +967,10 @@ for _name, _base, _metrics, _per in [
 
 _BODY.update(state_queries.bodies(AS_OF))
 _BODY["keyed_table"] = _BODY["upsert"]
+for _name, _same in {
+    "archive_heavy": "archive", "party_join_heavy": "party_join", "history_laid": "history",
+    "customer_txns_laid": "customer_txns_30d", "recent_sent_laid": "recent_sent",
+}.items():
+    _BODY[_name] = _BODY[_same]
 
 ORACLE: dict[str, str] = {n: (b if n in ("upsert", "keyed_table") else _sql(b)) for n, b in _BODY.items()}

@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.operators import sessions, windows
+from tidewarden.operators import alerts, analytics, enrich, heavy, selection, sessions, sketches, windows
 from tidewarden.plans.workspace import Workspace
 from tidewarden.session import scratch_path
-from tidewarden.sources import binding
+from tidewarden.sources import binding, layout
 from tidewarden.sources.keyed import KeyedTable
 from tidewarden.sources.versions import VersionedTable
 from tidewarden.streaming import kept, lifecycle
@@ -21,6 +21,7 @@ from tidewarden.streaming import source as streams
 
 #: Events are sparse; a pause of six hours ends a session here.
 GAP = "6 hours"
+ONE_CUSTOMER = "CUST-0000012"
 METRIC_KEYS = ["customer_id", "window_type", "window_start"]
 
 
@@ -93,7 +94,65 @@ def _snapshot_versions(w: Workspace) -> DataFrame:
     return table.read(1).withColumn("version", F.lit(1)).unionByName(table.read().withColumn("version", F.lit(table.current().number)))
 
 
+def _large_cap(w: Workspace) -> DataFrame:
+    """The newest 700 metrics by selection of the last row instead of a sort."""
+    order = [("computed_at", True), ("window_start", True), ("customer_id", False), ("window_type", False)]
+    found = selection.first_rows(w.metrics, 700, order, page_rows=0)
+    return found.select("customer_id", "window_type", "window_start", "txn_count")
+
+
+def _largest_payments(w: Workspace) -> DataFrame:
+    """The 500 largest payments; amounts tie, and the id decides."""
+    found = selection.first_rows(w.txns, 500, [("amount_eur", True), ("txn_id", False)], page_rows=0)
+    return found.select("txn_id", "amount_eur")
+
+
+def _archive_heavy(w: Workspace) -> DataFrame:
+    """The archive with the payments of heavy parties dealt to several tasks."""
+    parties = enrich.by_party(w.txns).select("party_id")
+    archived = alerts.archive(w.budgeted, w.txns, w.as_of, heavy.heavy_keys(parties, "party_id"))
+    return archived.select(
+        "alert_txn_id", "rule_name", "customer_id", "flagged_at", "archived_at", "txn_id", "sender_customer_no", "receiver_customer_no",
+        "amount_eur", "ts", "txn_ingested_at",
+    )
+
+
+def _party_join_heavy(w: Workspace) -> DataFrame:
+    alerted = w.flags.filter(F.col("rule_name") == "high_value").select("customer_id").distinct()
+    sides = w.txns.select("txn_id", "sender_customer_no", "receiver_customer_no", "amount_eur")
+    keys = heavy.heavy_keys(enrich.by_party(sides), "party_id")
+    return enrich.party_join(alerted, sides, keys).select("customer_id", "party_txn_id", "amount_eur")
+
+
+def _receiver_sketches(w: Workspace) -> DataFrame:
+    """Distinct receivers of the last seven days, exact, and whether the merged sketches agree within their error."""
+    span = ("2024-01-24", "2024-01-30")
+    estimate = sketches.receivers_between(sketches.daily_sketches(w.txns), *span).withColumnRenamed("receivers", "estimate")
+    exact = sketches.exact_between(w.txns, *span)
+    agrees = sketches.within_error(F.col("estimate"), F.col("receivers")).alias("agrees")
+    return exact.join(estimate, "customer_id").select("customer_id", "receivers", agrees)
+
+
+def _laid_history(w: Workspace) -> DataFrame:
+    return layout.history(w.laid, w.as_of, 7).select("txn_id", "ts", "amount_eur")
+
+
+def _laid_customer(w: Workspace) -> DataFrame:
+    """A customer's payments of 30 days from the laid-out table."""
+    recent = layout.of_customer(layout.history(w.laid, w.as_of), ONE_CUSTOMER)
+    return analytics.customer_txns(recent, ONE_CUSTOMER, w.as_of, None)
+
+
 QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
+    "row_cap_large": _large_cap,
+    "largest_payments": _largest_payments,
+    "archive_heavy": _archive_heavy,
+    "party_join_heavy": _party_join_heavy,
+    "receiver_sketches": _receiver_sketches,
+    "alert_grid": lambda w: analytics.alert_grid(w.flags, w.as_of),
+    "history_laid": _laid_history,
+    "customer_txns_laid": _laid_customer,
+    "recent_sent_laid": lambda w: analytics.recent_sent(layout.sent_by(w.laid, ONE_CUSTOMER), ONE_CUSTOMER),
     "burst_sessions": lambda w: sessions.bursts(sessions.sessions(w.wire, GAP), gap=GAP),
     "burst_sessions_closed": lambda w: sessions.bursts(
         sessions.sessions(w.wire, GAP), closed_by=F.lit(binding.AS_OF).cast("timestamp"), gap=GAP
@@ -141,6 +200,21 @@ GROUP BY ALL HAVING count(*) FILTER (d = 0) > 0"""
             f"SELECT customer_id, rule_name, 'opened' AS change, first_ts, first_ts AS last_ts, 1 AS alert_count, NULL AS disposition FROM ({episodes}) "
             f"UNION ALL SELECT customer_id, rule_name, 'decided', first_ts, last_ts, alert_count, disposition FROM ({episodes}) WHERE decisions > 0"
         ),
+        "row_cap_large": (
+            "SELECT customer_id, window_type, window_start, txn_count FROM metrics ORDER BY computed_at DESC, window_start DESC, customer_id, window_type LIMIT 700"
+        ),
+        "largest_payments": "SELECT txn_id, CAST(txn.amount_eur AS DOUBLE) AS amount_eur FROM txn ORDER BY txn.amount_eur DESC, txn_id LIMIT 500",
+        "receiver_sketches": (
+            "SELECT sender_id AS customer_id, count(DISTINCT receiver_id) AS receivers, TRUE AS agrees FROM txn "
+            "WHERE sender_id IS NOT NULL AND ts >= TIMESTAMP '2024-01-24' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1"
+        ),
+        "alert_grid": f"""
+SELECT rule_name, strftime(day, '%Y-%m-%d') AS day, n AS alerts,
+       CAST(sum(n) OVER (PARTITION BY rule_name ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS alerts_7d
+FROM (SELECT r.rule_name, d.day, count(f.txn_id) AS n
+      FROM (SELECT DISTINCT rule_name FROM flags WHERE flagged_at >= CAST({as_of} AS DATE) - 29 AND flagged_at < CAST({as_of} AS DATE) + 1) r
+      CROSS JOIN (SELECT CAST(CAST({as_of} AS DATE) - CAST(i AS INTEGER) AS DATE) AS day FROM range(30) t(i)) d
+      LEFT JOIN flags f ON f.rule_name = r.rule_name AND CAST(f.flagged_at AS DATE) = d.day GROUP BY ALL)""",
         "keyed_lookup": "SELECT customer_id, name, segment FROM cust WHERE segment = 'premium' AND customer_id NOT LIKE '%7'",
         "snapshot_versions": (
             "SELECT rule_name, count(*) AS alerts, 1 AS version FROM flags WHERE flagged_at < TIMESTAMP '2024-01-15' GROUP BY 1 "

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.config import RULES
-from tidewarden.operators import alerts, enrich, features, lookup, normalize, ops, rules, scoring, windows
+from tidewarden.operators import alerts, features, lookup, normalize, ops, rules, scoring, windows
 from tidewarden.session import scratch_path
-from tidewarden.sources import binding
+from tidewarden.sources import binding, layout
 from tidewarden.sources.tables import read_table
 
 _stored: dict[tuple[str, ...], str] = {}
@@ -66,9 +66,19 @@ class Workspace:
     def txns(self) -> DataFrame:
         return self._store("transactions", lambda: self.normalized)
 
+    @cached_property
+    def laid(self) -> DataFrame:
+        """The transactions by day and clustered by sender, for lookups of a customer."""
+        key = (self.spark.sparkContext.applicationId, self.base, "laid")
+        if key not in _stored:
+            path = scratch_path(self.spark, "laid")
+            layout.lay_out(self.txns, path)
+            _stored[key] = path
+        return self.spark.read.parquet(_stored[key])
+
     @cached_property
     def addresses(self) -> DataFrame:
-        return enrich.address_expand(self.customers)
+        return binding.address_expand(self.customers)
 
     @cached_property
     def acquired(self) -> DataFrame:

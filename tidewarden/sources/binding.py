@@ -11,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.config import FX_TO_EUR
+from tidewarden.config import ADDRESS_TYPES, CITIES, FX_TO_EUR
 from tidewarden.operators.analytics import kyc_risk_score
 from tidewarden.sources.schema import WIRE_SCHEMA
 
@@ -124,6 +124,25 @@ def payments(events: DataFrame) -> DataFrame:
     )
 
 
+def address_expand(customers: DataFrame) -> DataFrame:
+    """One to five addresses per customer; the customer's number fixes count, city and types."""
+    number = F.regexp_replace("customer_id", r"\D", "").try_cast("bigint")
+    types = F.array(*[F.lit(t) for t in ADDRESS_TYPES])
+    cities = F.array(*[F.lit(c) for c in CITIES])
+    return (
+        customers.select("customer_id", F.coalesce("country", F.lit("DE")).alias("country_code"), number.alias("g"))
+        .withColumn("n", F.explode(F.sequence(F.lit(1), (F.col("g") % 5 + 1).cast("int"))))
+        .select(
+            (F.col("g") * 10 + F.col("n")).alias("address_id"),
+            "customer_id",
+            F.element_at(cities, (F.col("g") % 10 + 1).cast("int")).alias("city"),
+            F.concat(F.lit("District "), ((F.col("g") + F.col("n")) % 20 + 1).cast("string")).alias("district"),
+            "country_code",
+            F.element_at(types, ((F.col("g") + F.col("n")) % 5 + 1).cast("int")).alias("address_type"),
+        )
+    )
+
+
 def acquisition_log(orders: DataFrame) -> DataFrame:
     return orders.groupBy(_customer_key(F.col("o_custkey")).alias("customer_id")).agg(
         F.min(F.col("o_orderdate").cast("timestamp")).alias("acquired_at")

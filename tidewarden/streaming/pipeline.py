@@ -17,8 +17,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tidewarden.config import GLOBAL_ALERT_CAP, RULE_ALERT_CAP, load_rules
 from tidewarden.functions.calendar import hours_before
 from tidewarden.operators import alerts, enrich, normalize, rules, windows
+from tidewarden.operators.analytics import latest_per
 from tidewarden.streaming.queries import alert_window, start
-from tidewarden.streaming.tables import exists, latest_rows, read_before, write_batch
+from tidewarden.streaming.tables import UpdateLog, exists, read_before, write_batch
 
 METRIC_KEYS = ["customer_id", "window_type", "window_start"]
 HISTORY_DAYS = 31
@@ -50,7 +51,11 @@ class PaymentPipeline:
         return self.spark.read.parquet(self.path(name))
 
     def metrics(self) -> DataFrame:
-        return latest_rows(self.spark, self.path("metrics"), METRIC_KEYS)
+        return self._metrics_log().rows()
+
+    def _metrics_log(self) -> UpdateLog:
+        """Metrics by batch, the newest per key counting; folded now and then."""
+        return UpdateLog(self.spark, self.path("metrics"), lambda log: latest_per(log, METRIC_KEYS, [F.desc("batch_id")]))
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Handle one batch of wire payments. Thresholds are read anew for every batch."""
@@ -79,7 +84,8 @@ class PaymentPipeline:
         scored = alerts.alert_priority(found, self.customers).withColumn(
             "alert_window", alert_window(F.col("window_type"), F.col("ts"))
         )
-        raised = read_before(spark, self.path("flags"), batch_id, scored)
+        # Days before the history cannot hold one that matters: their folders are not read.
+        raised = read_before(spark, self.path("flags"), batch_id, scored, since)
         # Only windows and days this batch can touch matter for repeats.
         same_window = raised.filter(
             (F.col("rule_name") != "dormant_reactivation") & (F.col("alert_window") >= since)
@@ -95,10 +101,10 @@ class PaymentPipeline:
                 .agg(F.count(F.lit(1)).alias("alert_count"))
             )
             fresh = alerts.apply_budget(fresh, counts, self.global_cap, self.rule_cap)
-        write_batch(fresh.select(*scored.columns), self.path("flags"), batch_id)
+        write_batch(fresh.select(*scored.columns), self.path("flags"), batch_id, day_of="ts")
 
         if exists(spark, self.path("flags")):
-            kept = spark.read.parquet(self.path("flags")).filter(F.col("batch_id") == batch_id)
+            kept = spark.read.parquet(self.path("flags")).filter(F.col("batch_id") == batch_id).drop("day")
             known = stored.select(*normalize.TXN_COLUMNS)
             write_batch(alerts.archive(kept, known, F.lit(last_ts)), self.path("archive"), batch_id)
 
@@ -120,10 +126,10 @@ class PaymentPipeline:
         )
         measured = windows.window_metrics(history, F.lit(last_ts))
         # Windows that began before the history are incomplete and stay as stored.
-        write_batch(measured.filter(F.col("window_start") >= since), self.path("metrics"), batch_id)
+        log = self._metrics_log()
+        log.write(measured.filter(F.col("window_start") >= since), batch_id)
         write_batch(windows.behavior_30d(history, F.lit(last_ts)), self.path("behavior"), batch_id)
-        stored_metrics = self.spark.read.parquet(self.path("metrics"))
-        return stored_metrics.filter(F.col("batch_id") == batch_id).drop("batch_id")
+        return log.rows() if batch_id <= log.through() else log.rows(batch_id)
 
     def run(self, payments: DataFrame, continuous: bool = False) -> StreamingQuery:
         """Start the pipeline on a stream of wire payments."""

@@ -17,7 +17,7 @@ from tidewarden.config import RULES
 from tidewarden.functions.calendar import window_start
 from tidewarden.operators import enrich
 from tidewarden.operators.windows import roll_up
-from tidewarden.streaming.tables import exists, latest_rows, write_batch
+from tidewarden.streaming.tables import UpdateLog, exists, latest_rows, write_batch
 
 LATENESS = "2 days"
 TRIGGER = "30 seconds"
@@ -88,19 +88,26 @@ def keep_facts(batch: DataFrame, base: str, batch_id: int, lateness: str = LATEN
 
     kept = _stored_facts(spark, base).filter(F.col("batch_id") == batch_id)
     daily = kept.groupBy("sender_id", "receiver_id", F.date_trunc("day", "event_ts").alias("day")).agg(
-        F.sum("amount_eur").alias("volume"), F.count(F.lit(1)).alias("n")
+        F.sum("amount_eur").cast("decimal(28,2)").alias("volume"), F.count(F.lit(1)).alias("n")
     )
-    write_batch(daily, os.path.join(base, "daily"), batch_id)
+    _daily_log(spark, base).write(daily, batch_id)
     write_batch(kept.agg(F.max("event_ts").alias("newest")), os.path.join(base, "progress"), batch_id)
 
 
+def _summed(daily: DataFrame) -> DataFrame:
+    return daily.groupBy("sender_id", "receiver_id", "day").agg(
+        F.sum("volume").cast("decimal(28,2)").alias("volume"), F.sum("n").alias("n")
+    )
+
+
+def _daily_log(spark: SparkSession, base: str) -> UpdateLog:
+    """Daily sums by batch; folded now and then, so that a reader meets few files."""
+    return UpdateLog(spark, os.path.join(base, "daily"), _summed)
+
+
 def daily_sums(spark: SparkSession, base: str) -> DataFrame:
     """Volume and count per (sender, receiver, day) over all batches."""
-    return (
-        spark.read.parquet(os.path.join(base, "daily"))
-        .groupBy("sender_id", "receiver_id", "day")
-        .agg(F.sum("volume").cast("decimal(28,2)").alias("volume"), F.sum("n").alias("n"))
-    )
+    return _daily_log(spark, base).rows()
 
 
 def late_facts(spark: SparkSession, base: str) -> DataFrame:
