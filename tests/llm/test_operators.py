@@ -2,8 +2,12 @@
 
 import functools
 import hashlib
+import os
+import pickle
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -245,6 +249,72 @@ def test_leaks(spark):
     assert got == want and len(want) > 20
 
 
+def test_leaks_with_repeated_shingles(spark):
+    """Items of which one shingle repeats, and windows that lost part of the repeats: all pairs by brute force are found."""
+    random.seed(8)
+    items, docs = [], []
+    for i, (size, repeats) in enumerate([(40, 5), (50, 6), (89, 11), (30, 4)] * 10):
+        phrase = [f"p{i}"] * (repeats + 4)
+        items.append((i, " ".join([f"w{random.randrange(10**6)}" for _ in range(size)] + phrase)))
+        words = items[-1][1].split()
+        words[-random.randrange(3, repeats) :] = [f"z{k}" for k in range(random.randrange(1, 4))]
+        docs.append((i, " ".join(words)))
+    want = brute_leaks(docs, items)
+    got = decontamination.contaminated(spark.createDataFrame(docs, DDL), spark.createDataFrame(items, "item_id int, text string"))
+    got = {(r["doc_id"], r["item_id"]): (pytest.approx(r["similarity"]), r["start"]) for r in got.collect()}
+    assert len(want) > 15 and got == want
+
+
+def test_other_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (None, "a b c d e f g"), (3, "q r s")], DDL)
+    odd = docs.select("*", *(F.lit(f"own {c}").alias(c) for c in ("digest", "found", "_null", "body", "words", "kept", "bits", "n_chars")))
+    items = spark.createDataFrame([(0, "a b c d e f g")], "item_id int, text string").withColumn("found", F.lit(1))
+    for df, ids in (
+        (simhash_dedup.keep_one(odd), {1, 2, 3, None}),
+        (decontamination.clean(odd, items), {2, 3}),  # the null id leaks too
+        (substring_dedup.without_repeats(odd, n_chars="none"), {1, 2, 3, None}),
+    ):
+        rows = df.collect()
+        assert df.columns == odd.columns and {r["doc_id"] for r in rows} == ids
+        assert all(r["digest"] == "own digest" and r["found"] == "own found" and r["_null"] == "own _null" for r in rows)
+
+
+def test_broadcasts_need_no_package():
+    """A worker without the package must be able to read what is broadcast."""
+    trees = language_id.grow_trees([("x", b"", [1], [9])])
+    code = "import pickle, sys; sys.path = [p for p in sys.path if 'repo' not in p]; pickle.loads(sys.stdin.buffer.read())"
+    for value in ((trees.languages, trees.contexts, trees.bits), (0.5, {"a": 1.0})):
+        subprocess.run([sys.executable, "-c", code], input=pickle.dumps(value), check=True, cwd="/")
+
+
+@pytest.mark.parametrize("query", ["op2_language_id", "op10_toxicity", "op11_periodic_runs", "op12_centroid_clusters"])
+def test_queries_run_where_executors_have_no_package(query, tmp_path):
+    """The driver finds the package by a path of its own, the Python workers do not."""
+    code = f"""
+import os, sys
+from pyspark.sql import SparkSession
+os.environ.pop("PYTHONPATH", None)
+spark = (SparkSession.builder.master("local-cluster[1,2,1500]").config("spark.ui.enabled", "false").config("spark.executor.memory", "1500m")
+    .config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.sql.shuffle.partitions", "2").config("spark.executorEnv.PYTHONPATH", "").getOrCreate())
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from tidewarden.llm import queries
+print("rows", queries.QUERIES[{query!r}](spark, {DATA!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(tmp_path), env=env, timeout=300)
+    assert "rows " in found.stdout, found.stderr[-3000:]
+
+
+def test_each_language_has_its_own_contexts():
+    many = [(f"l{j}", bytes([j, k]), [1, 2], [5, 5]) for j in range(6) for k in range(200)] + [(f"l{j}", b"", [1], [9]) for j in range(6)]
+    budget = language_id.context_budget(6)
+    assert 6 * budget <= language_id.MAX_NODES and language_id.context_budget(1) == language_id.context_budget(4)
+    trees = language_id.grow_trees(many)
+    assert sum(len(c) == 2 for c in trees.contexts) == 1200
+    with pytest.raises(ValueError):
+        language_id.grow_trees([(f"l{j}", b"", [1], [9]) for j in range(language_id.MOST_LANGUAGES + 1)])
+
+
 def test_shards(spark, odd, tmp_path):
     rows = sharding.sharded(odd, 3, str(tmp_path / "map")).collect()
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == sorted(
@@ -264,8 +334,10 @@ def test_rebalancing_moves_little(spark, tmp_path):
     assert max(total(first)) - min(total(first)) < 1000 and max(total(grown)) < sum(sizes) / 9 * 1.002
     assert {b for a, b in zip(first.shard_of, grown.shard_of, strict=True) if a != b} == {8}
     assert max(total(sharding.rebalance(grown, sizes, 5))) < sum(sizes) / 5 * 1.01
-    for m in (first, grown):
+    for m in (first, grown, grown):
         m.save(spark, str(tmp_path / "map"))
+    with pytest.raises(ValueError):
+        sharding.SlotMap.load(spark, str(tmp_path / "map"), 9)
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == grown and sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == first
 
 

@@ -4,5 +4,6 @@ import sys
 
 from pyspark import cloudpickle
 
-# Task code travels with the job, so executors need no copy of this package on their import path.
+# Task code travels with the job, so executors need no copy of this package on their import path. Broadcast values are
+# not covered: they must be made of plain types and arrays.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,11 +5,14 @@ For every benchmark item, all windows of the documents with as many words as the
 1. Windows that share too few five-word shingles with every item for the similarity asked for are never built.
    A document's shingle hashes meet the items' hashes; a window of ``a`` shingles can only reach similarity ``t``
    with an item of ``b`` shingles if ``t (a + b) / (1 + t)`` of its shingles occur in that item.
-2. The windows left get a 64-bit SimHash over their shingles, repeats included, and so do the items.
+2. The windows left get a 64-bit SimHash over their shingles, and so do the items. The second and later occurrences of
+   a shingle are hashed with their number, as shingles of their own: the weighted similarity is then the plain
+   similarity of two sets, and no shingle moves a fingerprint by more than its one element.
 3. A multi-index finds the items near each window: fingerprints within ``RADIUS`` bits differ in at most
    ``RADIUS // BLOCKS`` bits in one of ``BLOCKS`` blocks. Items are listed under all such values of all blocks,
    windows under their own values; the lists are joined by item size, block and value. This finds every pair
-   within the radius. At similarity 0.8 two fingerprints differ in 10 bits on average with a deviation of 3.
+   within the radius. At similarity 0.8 two fingerprints of sets differ in 10 bits on average with a deviation of 3,
+   however often a shingle repeats; the radius lies over four deviations above.
 4. The exact similarity of the pairs' weighted shingles, the sum of the smaller weights over that of the larger
    ones, decides.
 
@@ -17,7 +20,8 @@ The items' shingles are broadcast only while there are at most ``BROADCAST_SHING
 
 Defined cases: texts are compared in lower case. Null and empty texts and items match nothing. An item shorter than
 a shingle is one shingle of all its words; a document shorter than an item is one window. Rows that repeat a
-doc_id and text count once; if a doc_id has several texts, it matches if one of them does.
+doc_id and text count once; if a doc_id has several texts, it matches if one of them does. Ids are whole numbers; the
+null id is one like others.
 """
 
 from __future__ import annotations
@@ -27,13 +31,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.llm.common import WORD_GAP, stored
+from tidewarden.llm.common import WORD_GAP, free_name, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BLOCKS, BITS = 8, 8
 RADIUS = 23
 BROADCAST_SHINGLES = 1_000_000
+#: Stands for a null id inside the joins, which null would not pass.
+_NO_ID = -(2**63)
 _GAP_CHARACTERS = " \t\n\x0b\f\r"
 
 
@@ -101,7 +107,8 @@ def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text"
 
 
 def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("body"), _words(text).alias("words"))
+    known = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID))
+    return docs.select(known.alias("doc_id"), F.xxhash64(text).alias("body"), _words(text).alias("words"))
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -150,7 +157,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     per_document = stored(per_document, "starts")
 
     again = _documents(docs, doc_id, text).withColumnsRenamed({"doc_id": "id", "body": "digest"})
-    match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("body"))
+    match = (F.col("id") == F.col("doc_id")) & (F.col("digest") == F.col("body"))
     held = again.join(per_document, match).dropDuplicates(["doc_id", "body"]).select("doc_id", "body", "words", "windows")
     opened = held.select("doc_id", "body", "words", F.explode_outer("windows").alias("w")).select("doc_id", "body", "words", "w.*")
     cut = opened.withColumn("part", F.slice("words", F.col("start") + 1, F.col("a") + F.col("k") - 1)).drop("words")
@@ -160,9 +167,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         hashed.select(*window, F.explode_outer("hashes").alias("h")).groupBy(*window, "h").agg(F.count(F.lit(1)).alias("w")), "windows"
     )
 
-    repeat = lambda weight: F.array_repeat(F.col("h"), F.col(weight).cast("int"))
-    window_prints = _simhash(weighted.select(*window, F.explode_outer(repeat("w")).alias("h")).groupBy(*window), "h")
-    item_prints = _simhash(shingles.select("item_id", "n", F.explode_outer(repeat("weight")).alias("h")).groupBy("item_id", "n"), "h")
+    window_prints = _simhash(weighted.select(*window, F.explode_outer(_occurrences("w")).alias("h")).groupBy(*window), "h")
+    item_prints = _simhash(shingles.select("item_id", "n", F.explode_outer(_occurrences("weight")).alias("h")).groupBy("item_id", "n"), "h")
     listed = _by_block(item_prints, _flips(RADIUS // BLOCKS)).withColumnRenamed("print", "item_print")
     near = _by_block(window_prints, [0]).join(listed, ["n", "block", "value"])
     near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select(*window, "item_id").distinct()
@@ -176,15 +182,22 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best")
     found = scored.where(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "item_id").agg(best)
     return found.select(
-        "doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.n").alias("n_words"), F.col("best.similarity").alias("similarity")
+        F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "item_id", (-F.col("best.back")).alias("start"), F.col("best.n").alias("n_words"), F.col("best.similarity").alias("similarity")
     )
 
 
+def _occurrences(weight: str) -> Column:
+    """One hash for each occurrence of a shingle ``h``; the first keeps the shingle's own."""
+    numbers = F.sequence(F.lit(1), F.col(weight).cast("int"))
+    return F.transform(numbers, lambda i: F.when(i == 1, F.col("h")).otherwise(F.xxhash64("h", i)))
+
+
 def _same(weighted: DataFrame, near: DataFrame, window: list[str]) -> DataFrame:
     return weighted.join(near.select(*window).distinct(), window, "left_semi")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that match no item; those with a null id stay if no null id matched."""
-    found = contaminated(docs, items).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("found")), "left_anti")
+    """The documents that match no item; those with a null id stay if no null id matched. Other columns may have any name."""
+    name = free_name(docs.columns, "found")
+    found = contaminated(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

@@ -35,7 +35,8 @@ from tidewarden.llm.common import id_residue, slices, text_bytes
 ORDER = 3
 TRAIN_DOCS = 500
 MIN_SEEN = 8
-MAX_NODES = 65_535
+#: Rows of the table of code lengths, and languages it has columns for; see ``context_budget``.
+MAX_NODES, MOST_LANGUAGES = 65_535, 32
 UNKNOWN = "und"
 #: Text bytes scored at a time; bounds a worker's memory whatever a text's length, and changes no result.
 PIECE_BYTES = 1 << 18
@@ -103,19 +104,30 @@ def gram_counts(rows: DataFrame, order: int = ORDER, min_seen: int = MIN_SEEN) -
     return nodes.where((F.col("n") >= min_seen) | (F.length("context") == 0)).drop("n")
 
 
+def context_budget(languages: int) -> int:
+    """Contexts that each language may keep for itself, so that none is crowded out by the others.
+
+    The table of code lengths has a row per context and a column per language; its size stays the same beyond four
+    languages.
+    """
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages to learn; at most {MOST_LANGUAGES} are supported")
+    return MAX_NODES // max(languages, 4) * 4 // max(languages, 4)
+
+
 def grow_trees(nodes: list[tuple[str, bytes, list[int], list[int]]], order: int = ORDER) -> ContextTrees:
     """Context trees of all languages over one list of contexts, from (lang, context, bytes, counts)."""
     languages = sorted({node[0] for node in nodes})
     if not languages:
         return ContextTrees([], [b""], np.empty((256, 0), np.float16))
     seen: dict[str, dict[bytes, tuple[list[int], list[int]]]] = {lang: {} for lang in languages}
-    weight: Counter = Counter()
     for lang, context, follow, counts in nodes:
         seen[lang][context] = (follow, counts)
-        weight[context] += sum(counts)
     # Contexts are at least as frequent as the longer ones that end in them, so parents are kept first.
-    kept = sorted(weight, key=lambda c: (-weight[c], len(c), c))[:MAX_NODES]
-    closed = {b""} | {c[i:] for c in kept for i in range(len(c))}
+    kept: set[bytes] = {b""}
+    for own in seen.values():
+        kept.update(sorted(own, key=lambda c: (-sum(own[c][1]), len(c), c))[: context_budget(len(languages))])
+    closed = kept | {c[i:] for c in kept for i in range(len(c))}
     contexts = sorted(closed, key=lambda c: (len(c), c))[:MAX_NODES]
     at = {c: i for i, c in enumerate(contexts)}
     bits = np.empty((len(contexts), 256, len(languages)), np.float16)
@@ -198,12 +210,13 @@ def predict(docs: DataFrame, trees: ContextTrees, text: str = "text") -> DataFra
     """Add ``lang_pred`` and ``score`` for each whole text; other columns pass through."""
     if {"lang_pred", "score"} & set(docs.columns):
         raise ValueError("a column lang_pred or score exists already")
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    # Plain values: a broadcast is unpickled before the task's code, which brings the classes, has arrived.
+    shared = docs.sparkSession.sparkContext.broadcast((trees.languages, trees.contexts, trees.bits))
     at = docs.columns.index(text)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        trees = ContextTrees(*shared.value)
         names, node_of = np.array([*trees.languages, UNKNOWN], object), trees.node_of()
         for batch in slices(batches, at):
             texts = [t or "" for t in batch.column(at).to_pylist()]

@@ -41,12 +41,11 @@ class SlotMap:
         return F.get(F.lit(list(self.shard_of)), slot.cast("int"))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the table at ``path``, one row per slot."""
+        """Add this version to the table at ``path``, one row per slot; saved again, it replaces itself."""
         slots = spark.range(len(self.shard_of)).select(
-            F.lit(self.version).alias("version"), F.lit(self.shards).alias("shards"),
-            F.col("id").alias("slot"), self.shard(F.col("id")).alias("shard"),
-        )
-        slots.coalesce(1).write.mode("append").parquet(path)
+            F.lit(self.shards).alias("shards"), F.col("id").alias("slot"), self.shard(F.col("id")).alias("shard")
+        )
+        slots.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -55,6 +54,8 @@ class SlotMap:
         if version is None:
             version = table.agg(F.max("version")).first()[0]
         rows = table.where(F.col("version") == version).orderBy("slot").collect()
+        if not rows or [r["slot"] for r in rows] != list(range(len(rows))):
+            raise ValueError(f"{path}: version {version} is not one map of all slots")
         return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows))
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.llm.common import slices, stored, text_bytes
+from tidewarden.llm.common import free_name, slices, stored, text_bytes
 from tidewarden.llm.components import components
 
 RADIUS = 3
@@ -221,6 +221,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     roots = _named(rows.select("doc_id", "bits").union(everywhere)).select("bits", "root")
     chosen = rows.join(roots, "bits").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     chosen = chosen.select("first.doc_id", "first.digest").distinct()
-    kept = named.withColumn("digest", _text_hash("text")).join(chosen, ["doc_id", "digest"], "left_semi")
-    kept = kept.dropDuplicates(["doc_id", "digest"]).select(*docs.columns)
+    # The documents' other columns may have any name, that of the digest too.
+    own = free_name(docs.columns, "digest")
+    chosen = chosen.withColumnRenamed("digest", own)
+    kept = named.withColumn(own, _text_hash("text")).join(chosen, ["doc_id", own], "left_semi")
+    kept = kept.dropDuplicates(["doc_id", own]).select(*docs.columns)
     return kept.union(docs.where(F.col("doc_id").isNull()).select(*docs.columns))

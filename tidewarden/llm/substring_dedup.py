@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewarden.llm.common import slices, text_bytes
+from tidewarden.llm.common import free_name, slices, text_bytes
 
 WINDOW = 20
 ROUNDS = 3
@@ -347,8 +347,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tu
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with the repeats cut from the text; texts that lose nothing, nulls included, stay as they are."""
     rest = tuple(c for c in docs.columns if c != text)
-    found = dedup(docs.withColumn("_null", F.col(text).isNull()), doc_id, text, (*rest, "_null"))
-    same = F.when(~F.col("carried._null"), F.col("words").cast("string"))
+    null = free_name(docs.columns, "_null")
+    found = dedup(docs.withColumn(null, F.col(text).isNull()), doc_id, text, (*rest, null))
+    same = F.when(~F.col(f"carried.{null}"), F.col("words").cast("string"))
     out = found.withColumn("_text", F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(same))
     columns = {c: F.col(f"carried.{c}") for c in rest} | {text: F.col("_text")}
     if n_chars in docs.columns:

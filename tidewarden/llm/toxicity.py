@@ -139,14 +139,16 @@ def score(docs: DataFrame, model: SentenceModel, text: str = "text") -> DataFram
     """Add ``score`` and ``offending``, the (start, end, p) of toxic sentences in characters."""
     if {"score", "offending"} & set(docs.columns):
         raise ValueError("a column score or offending exists already")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a broadcast is unpickled before the task's code, which brings the classes, has arrived.
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     at = docs.columns.index(text)
     span = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end")] + [T.StructField("p", T.DoubleType())])
     fields = [T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))]
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, scores = shared.value.bias, WordScores(shared.value)
+        model = SentenceModel(*shared.value)
+        bias, scores = model.bias, WordScores(model)
         get, floor = scores.__getitem__, math.exp(max(bias, -50.0))
         for batch in slices(batches, at):
             totals, found = [], []
