@@ -42,6 +42,9 @@ ROUNDS = 3
 #: Words on either side of a place that make its key: (WINDOW - 2 ** ROUNDS) / 2.
 REACH = (WINDOW - 2**ROUNDS) // 2
 
+#: Text whose keys or windows meet in one bucket, which a worker holds at a time.
+BUCKET_BYTES = 1 << 26
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -273,17 +276,22 @@ def _send_windows(found: DataFrame, buckets: int) -> DataFrame:
     return found.mapInArrow(run, _SENT)
 
 
+def bucket_count(plain: DataFrame) -> int:
+    """So many that the keys of ``BUCKET_BYTES`` of text meet in a bucket, and enough to keep all tasks busy."""
+    size = plain.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    return max(4 * int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 def repeated_windows(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """The documents as (doc, variant, words, carried), and (doc, firsts, found) for their variants.
 
     ``firsts`` lists the digests of the texts whose first document this is, ``found`` the starts of the windows
     that occur earlier, by variant.
     """
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
     carried = F.struct(*carry) if carry else F.lit(None).cast("boolean")
     plain = docs.select(doc.alias("doc"), text_bytes(text).alias("words"), carried.alias("carried"))
+    buckets = bucket_count(plain)
     # Rows of one document and text share a rank, and the first of them has it as its row number too.
     by_text = Window.partitionBy("doc").orderBy("words")
     numbered = plain.select("doc", "words", "carried", F.rank().over(by_text).alias("variant"), F.row_number().over(by_text).alias("row"))
