@@ -6,14 +6,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.operators import alerts, analytics, enrich, heavy, selection, sessions, sketches, windows
+from tidewarden.operators import (
+    alerts,
+    analytics,
+    enrich,
+    features,
+    heavy,
+    iforest,
+    scoring,
+    selection,
+    sessions,
+    sketches,
+    triage,
+    windows,
+)
 from tidewarden.plans.workspace import Workspace
-from tidewarden.session import scratch_path
-from tidewarden.sources import binding, layout
+from tidewarden.session import cut_lineage, scratch_path
+from tidewarden.sources import binding, layout, sinks
+from tidewarden.sources import tables as source_tables
 from tidewarden.sources.keyed import KeyedTable
 from tidewarden.sources.versions import VersionedTable
 from tidewarden.streaming import kept, lifecycle
@@ -143,7 +158,104 @@ def _laid_customer(w: Workspace) -> DataFrame:
     return analytics.customer_txns(recent, ONE_CUSTOMER, w.as_of, None)
 
 
+def _all(condition: Column) -> Column:
+    return F.coalesce(F.every(condition), F.lit(True))
+
+
+def _sample_summary(w: Workspace) -> DataFrame:
+    """What a random sample must be whatever it draws: its size, one status, no customer twice."""
+    drawn = analytics.sample_customers(w.customers, "active", 50)
+    return drawn.agg(
+        F.count(F.lit(1)).alias("customers"), F.count_distinct("customer_id").alias("different"), _all(F.col("customer_status") == "active").alias("active")
+    )
+
+
+def _forest_summary(w: Workspace) -> DataFrame:
+    """What the scores of any forest must be: one per customer, from 0 to 1, ranked without gaps, the same share flagged."""
+    matrix = features.feature_matrix(w.feature_rows)
+    scored = iforest.IsolationForest(trees=50).fit(matrix).score(matrix)
+    ranked = scoring.normalize(scoring.flag_anomalies(cut_lineage(scored), "raw_score"), "raw_score")
+    return ranked.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.min("anomaly_score").alias("least"),
+        F.max("anomaly_score").alias("most"),
+        F.count_distinct("anomaly_rank").alias("ranks"),
+        F.max("anomaly_rank").alias("last_rank"),
+        (F.count_if("is_anomaly") >= F.floor(F.count(F.lit(1)) * scoring.CONTAMINATION)).alias("enough_flagged"),
+        _all((F.col("raw_score") > 0) & (F.col("raw_score") < 1)).alias("in_range"),
+    )
+
+
+def _fold_summary(w: Workspace) -> DataFrame:
+    """Out-of-fold scores by fold and label: every customer once, each with a probability; none if labels are too few."""
+    rows = cut_lineage(triage.training_rows(w.labelled))
+    checked = triage.check_balance(rows)
+    if checked.trained:
+        scored = triage.oof(rows, checked.folds, iterations=5)
+    else:
+        scored = rows.limit(0).select("label", F.lit(0).alias("fold"), F.lit(0.0).alias("triage_score"))
+    return scored.groupBy("fold", "label").agg(
+        F.count(F.lit(1)).alias("customers"), _all(F.col("triage_score").between(0, 1)).alias("probabilities")
+    )
+
+
+def _importance_summary(w: Workspace) -> DataFrame:
+    """Importances of any trees: one per feature, none negative, one in sum."""
+    rows = cut_lineage(triage.training_rows(w.labelled))
+    model = triage.triage_fit(rows, iterations=5).model
+    found = w.spark.createDataFrame([], "feature string, importance double") if model is None else triage.importances(model, rows)
+    return found.agg(
+        F.count_distinct("feature").alias("features"), _all(F.col("importance") >= 0).alias("none_negative"), F.round(F.coalesce(F.sum("importance"), F.lit(0.0)), 3).alias("total")
+    )
+
+
+def _run_summary(w: Workspace) -> DataFrame:
+    """The registry row of a run, without what depends on the trees."""
+    rows = cut_lineage(triage.training_rows(w.labelled))
+    result = triage.triage_fit(rows, iterations=5)
+    evaluated = cut_lineage(triage.oof(rows, result.folds, iterations=5)) if result.trained else None
+    record = triage.run_record(w.scores, evaluated, result, "v1", w.as_of)
+    quality = [F.col(c).between(0, 1) for c in ("roc_auc", "pr_auc", "precision_score", "recall_score", "f1_score")]
+    return record.select("model_version", "trained_at", "n_samples", "n_features", "n_anomalies", "supervised_trained", reduce(Column.__and__, quality).alias("in_range"))
+
+
+def _read_back(w: Workspace) -> DataFrame:
+    """Every sink writes the alerts of two spans one after the other, and is read again."""
+    base = scratch_path(w.spark, "read-back")
+    early = w.flags.filter(F.col("flagged_at") < "2024-01-15").select("txn_id", "rule_name", "ts")
+    late = w.flags.filter(F.col("flagged_at") >= "2024-01-15").select("txn_id", "rule_name", "ts")
+    for part in (early, late):
+        sinks.append(part, f"{base}/append")
+        sinks.overwrite(part, f"{base}/overwrite")
+        sinks.overwrite_days(part, f"{base}/days")
+        sinks.to_csv(part, f"{base}/csv")
+        sinks.publish_snapshot(part, f"{base}/snapshot")
+        sinks.append_run(part.agg(F.count(F.lit(1)).alias("n")), f"{base}/runs")
+    sinks.overwrite_days(late, f"{base}/days")  # the same days again
+    sinks.publish_gold(early, base, "gold", "1")
+    sinks.publish_gold(late, base, "gold", "2")
+    read = w.spark.read
+    tables = {
+        "append": read.parquet(f"{base}/append"),
+        "overwrite": read.parquet(f"{base}/overwrite"),
+        "overwrite_days": read.parquet(f"{base}/days"),
+        "csv": read.option("header", True).csv(f"{base}/csv"),
+        "snapshot": VersionedTable(w.spark, f"{base}/snapshot").read(),
+        "snapshot_before": VersionedTable(w.spark, f"{base}/snapshot").read(1),
+        "runs": read.parquet(f"{base}/runs"),
+        "gold_runs": read.parquet(f"{base}/gold"),
+        "gold_current": VersionedTable(w.spark, f"{base}/gold_current").read(),
+    }
+    return source_tables.table_counts(tables)
+
+
 QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
+    "sample_summary": _sample_summary,
+    "isolation_forest_summary": _forest_summary,
+    "oof_summary": _fold_summary,
+    "importances_summary": _importance_summary,
+    "run_record_summary": _run_summary,
+    "sinks_read_back": _read_back,
     "row_cap_large": _large_cap,
     "largest_payments": _largest_payments,
     "archive_heavy": _archive_heavy,
@@ -177,6 +289,9 @@ FROM (SELECT *, sum(fresh) OVER (PARTITION BY sender_id ORDER BY ts ROWS UNBOUND
               CASE WHEN ts <= lag(ts) OVER (PARTITION BY sender_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
             FROM txn WHERE sender_id IS NOT NULL))
 GROUP BY sender_id, island HAVING count(*) >= {sessions.BURST}"""
+    trained = (
+        "SELECT count(*) >= 40 AND count(*) FILTER (rule_flagged) >= 10 AND count(*) FILTER (NOT rule_flagged) >= 10 AS trained FROM labelled"
+    )
     late = "(e % 7 = 0 AND ts < (SELECT max(ts) FROM txn WHERE e % 7 <> 0) - INTERVAL 2 DAY)"
     episodes = """
 SELECT customer_id, rule_name, n_decided, min(ts) FILTER (d = 0) AS first_ts, max(ts) FILTER (d = 0) AS last_ts,
@@ -200,6 +315,27 @@ GROUP BY ALL HAVING count(*) FILTER (d = 0) > 0"""
             f"SELECT customer_id, rule_name, 'opened' AS change, first_ts, first_ts AS last_ts, 1 AS alert_count, NULL AS disposition FROM ({episodes}) "
             f"UNION ALL SELECT customer_id, rule_name, 'decided', first_ts, last_ts, alert_count, disposition FROM ({episodes}) WHERE decisions > 0"
         ),
+        "sample_summary": (
+            "SELECT least(50, count(*)) AS customers, least(50, count(*)) AS different, TRUE AS active FROM cust WHERE customer_status = 'active'"
+        ),
+        "isolation_forest_summary": (
+            "SELECT count(*) AS customers, 0.0 AS least, 1.0 AS most, count(*) AS ranks, count(*) AS last_rank, TRUE AS enough_flagged, TRUE AS in_range FROM feat"
+        ),
+        "oof_summary": f"""
+SELECT fold, label, count(*) AS customers, TRUE AS probabilities FROM (
+SELECT (row_number() OVER (ORDER BY rule_flagged, customer_id) - 1) % k AS fold, CAST(rule_flagged AS INTEGER) AS label
+FROM labelled, (SELECT least(5, count(*) FILTER (rule_flagged), count(*) FILTER (NOT rule_flagged)) AS k FROM labelled)) WHERE (SELECT trained FROM ({trained})) GROUP BY 1, 2""",
+        "importances_summary": f"SELECT CASE WHEN trained THEN 12 ELSE 0 END AS features, TRUE AS none_negative, CASE WHEN trained THEN 1.0 ELSE 0.0 END AS total FROM ({trained})",
+        "run_record_summary": (
+            f"SELECT 'v1' AS model_version, {as_of} AS trained_at, count(*) AS n_samples, 12 AS n_features, count(*) FILTER (is_anomaly) AS n_anomalies, "
+            f"(SELECT trained FROM ({trained})) AS supervised_trained, (SELECT CASE WHEN trained THEN TRUE END FROM ({trained})) AS in_range FROM scores"
+        ),
+        "sinks_read_back": """
+SELECT unnest(['append','overwrite','overwrite_days','csv','snapshot','snapshot_before','runs','gold_runs','gold_current']) AS table_name,
+       unnest([a + b, b, a - again + b, b, b, a, 2, a + b, b]) AS row_count
+FROM (SELECT count(*) FILTER (early) AS a, count(*) FILTER (NOT early) AS b, count(*) FILTER (early AND ts >= first_late) AS again
+      FROM (SELECT flagged_at < TIMESTAMP '2024-01-15' AS early, ts,
+              (SELECT CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) FROM flags WHERE flagged_at >= TIMESTAMP '2024-01-15') AS first_late FROM flags))""",
         "row_cap_large": (
             "SELECT customer_id, window_type, window_start, txn_count FROM metrics ORDER BY computed_at DESC, window_start DESC, customer_id, window_type LIMIT 700"
         ),
