@@ -13,6 +13,7 @@ from tidewarden.functions import text
 from tidewarden.functions.calendar import as_col, relative_age
 from tidewarden.functions.money import in_eur, money
 
+# Columns of a stored transaction.
 TXN_COLUMNS = [
     "txn_id", "txn_category", "txn_type", "sender_id", "receiver_id",
     "sender_customer_no", "receiver_customer_no", "sender_name", "receiver_name",

@@ -24,6 +24,7 @@ from tidewarden.config import RULES, SCENARIOS
 from tidewarden.functions.calendar import as_col, days_before, window_start
 from tidewarden.operators.normalize import alert_subject, scope
 
+# Columns of an alert; rule names and details are output values too.
 FLAG_COLUMNS = [
     "txn_id", "customer_id", "account_id", "amount", "currency", "amount_eur", "ts", "merchant",
     "rule_name", "rule_detail", "window_type", "flagged_at",

@@ -45,6 +45,7 @@ def check_balance(rows: DataFrame) -> TriageResult:
     """Whether the labels suffice, and if not, why."""
     counts = rows.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     pos, neg = counts.first()
+    # The notes' texts, which are output.
     if pos + neg < MIN_SAMPLES:
         return TriageResult(False, f"insufficient data: {pos + neg} active customers (need >= {MIN_SAMPLES})")
     if min(pos, neg) < MIN_PER_CLASS:

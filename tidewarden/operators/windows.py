@@ -16,6 +16,7 @@ from tidewarden.functions.calendar import (
 )
 from tidewarden.functions.money import money
 
+# Columns of the stored metrics.
 METRIC_COLUMNS = [
     "customer_id", "window_type", "total_volume", "txn_count",
     "distinct_receiver_count", "window_start", "computed_at",
