@@ -12,6 +12,7 @@ CHECKED = [
     "evaluate_rules", "window_metrics", "window_metrics_asof", "archive", "party_join", "for_customers",
     "open_alerts", "gold_customer_risk_profile", "geo_corridors", "dashboard_kpis", "customer_360",
     "resolve_targets", "dq_scorecard", "features", "upsert", "missing_addresses", "normalize", "sar_groups",
+    "resolve_targets_all", "archive_heavy", "party_join_heavy", "burst_sessions", "alert_grid", "row_cap_large", "customer_txns_laid",
 ]
 
 
