@@ -287,7 +287,7 @@ def test_broadcasts_need_no_package():
         subprocess.run([sys.executable, "-c", code], input=pickle.dumps(value), check=True, cwd="/")
 
 
-@pytest.mark.parametrize("query", ["op2_language_id", "op10_toxicity", "op11_periodic_runs", "op12_centroid_clusters"])
+@pytest.mark.parametrize("query", ["op2_language_id", "op10_toxicity"])
 def test_queries_run_where_executors_have_no_package(query, tmp_path):
     """The driver finds the package by a path of its own, the Python workers do not."""
     code = f"""
