@@ -1,9 +1,11 @@
 """What one task holds or joins must not follow the number of files, alerts or payments of the input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from tidewarden.operators import lookup
+from tidewarden.streaming.tables import write_batch
 
 NAMES = [(f"CUST-{i:07d}", f"Customer#{i * 37:09d}") for i in range(400)] + [("CUST-0000007", None), ("", ""), ("X", "ab")]
 
@@ -49,3 +51,25 @@ def test_many_texts_with_common_grams_do_not_multiply_with_customers(spark, monk
         want += [(q, min(hits))] if hits else []
     assert rows(found.select("q", "customer_id")) == sorted(want)
     assert sum(joined) <= max(few, 0) * len(texts)
+
+
+def _writers(path):
+    """Files of a written batch as (day, number of the task)."""
+    return [(f.parent.name, f.name.split("-")[1]) for f in path.rglob("part-*.parquet")]
+
+
+def test_a_batch_by_day_is_not_sorted_by_the_task_that_read_it(spark, tmp_path):
+    """One input task is dealt to several writers; many input tasks do not all write files of every day."""
+    start = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    df = spark.range(600).select("id", F.when(F.col("id") % 50 > 0, start + F.make_dt_interval((F.col("id") % 6).cast("int"))).alias("ts"))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_batch(df.coalesce(1), str(tmp_path / "one"), 3, day_of="ts")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert len({task for _, task in _writers(tmp_path / "one")}) > 1
+    write_batch(df.repartition(8), str(tmp_path / "many"), 3, day_of="ts")
+    assert len(_writers(tmp_path / "many")) <= 2 * 7
+    for name in ("one", "many"):
+        assert rows(spark.read.parquet(str(tmp_path / name)).select("id")) == [(i,) for i in range(600)]

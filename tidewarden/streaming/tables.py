@@ -17,8 +17,12 @@ from tidewarden.sources.versions import VersionedTable
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, day_of: str | None = None) -> None:
-    """Replace the rows of one batch, in partitions by the date of ``day_of`` if given."""
-    owned = df.withColumn("day", F.to_date(day_of)) if day_of else df
+    """Replace the rows of one batch, in partitions by the date of ``day_of`` if given.
+
+    The writer sorts a task's rows by day. They are dealt by day first, in pieces of the size that adaptive execution
+    advises, so that no task sorts what happens to come out of one input file or one join.
+    """
+    owned = df.withColumn("day", F.to_date(day_of)).hint("rebalance", F.col("day")) if day_of else df
     writer = owned.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if day_of:
         writer = writer.partitionBy("day")
