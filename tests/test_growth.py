@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import DATA, rows
 from tidewarden.operators import lookup
+from tidewarden.plans import registry
+from tidewarden.plans.workspace import Workspace
 from tidewarden.streaming.tables import write_batch
 
 NAMES = [(f"CUST-{i:07d}", f"Customer#{i * 37:09d}") for i in range(400)] + [("CUST-0000007", None), ("", ""), ("X", "ab")]
@@ -73,3 +75,32 @@ def test_a_batch_by_day_is_not_sorted_by_the_task_that_read_it(spark, tmp_path):
     assert len(_writers(tmp_path / "many")) <= 2 * 7
     for name in ("one", "many"):
         assert rows(spark.read.parquet(str(tmp_path / name)).select("id")) == [(i,) for i in range(600)]
+
+
+def test_payments_of_one_file_are_normalised_by_many_tasks_in_time_order(spark, tmp_path):
+    events = spark.range(4000).select(
+        F.col("id").alias("event_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.pmod(F.col("id") * 7919, F.lit(40000)).cast("int"))).alias("ts"),
+        (F.col("id") % 50).alias("user_id"), F.when(F.col("id") % 5 == 0, "signup").otherwise("click").alias("event_type"),
+        F.col("id").cast("double").alias("value"), F.lit('{"k": 7}').alias("props"),
+    )
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        w = Workspace(spark, str(tmp_path))
+        spans = w.txns.groupBy(F.input_file_name()).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("a").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert len(spans) > 1 and all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
+    assert rows(w.txns) == rows(w.normalized)
+
+
+def test_one_alert_is_archived_without_the_payments_of_the_others(spark):
+    w = Workspace(spark, DATA)
+    plan = registry.QUERIES["archive_for"](w)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    # The stored alerts are known to be few, so the payments are not shuffled to meet them.
+    assert "SortMergeJoin" not in text and text.count("transactions-") == 1
+    whole = w.archive.select("txn_id", "rule_name", "alert_txn_id", "amount_eur", "ts")
+    newest = w.budgeted.orderBy(F.desc("flagged_at"), "txn_id", "rule_name").limit(1).select(F.col("txn_id").alias("alert_txn_id"), "rule_name")
+    assert rows(plan) == rows(whole.join(newest, ["alert_txn_id", "rule_name"], "left_semi").select(*plan.columns)) != []
