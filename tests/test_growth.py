@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA, rows
-from tidewarden.operators import lookup
+from tidewarden.operators import analytics, lookup
 from tidewarden.plans import registry
 from tidewarden.plans.workspace import Workspace
 from tidewarden.streaming.tables import write_batch
@@ -55,6 +55,28 @@ def test_many_texts_with_common_grams_do_not_multiply_with_customers(spark, monk
     assert sum(joined) <= max(few, 0) * len(texts)
 
 
+def test_targets_over_single_files_are_resolved_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The query itself cuts the customers of one file in many tasks, once for each stored table, and finds what a scan finds."""
+    spark.range(200).select(
+        F.col("id").alias("c_custkey"), F.format_string("Customer#%09d", F.col("id") * 37).alias("c_name"),
+        F.lit(1).alias("c_nationkey"), F.lit(10.0).alias("c_acctbal"), F.lit("FURNITURE").alias("c_mktsegment"),
+    ).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(0, 1000000, 500).select(
+        F.col("id").alias("event_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") / 100).cast("int"))).alias("ts"),
+        (F.col("id") / 500 % 200).cast("long").alias("user_id"), F.when(F.col("id") % 2500 == 0, "signup").otherwise("click").alias("event_type"),
+        F.lit(90.0).alias("value"), F.lit('{"k": 7}').alias("props"),
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    cut, asked = [], []
+    fields, resolve = lookup._fields, lookup.resolve_targets
+    monkeypatch.setattr(lookup, "TASK_CHARS", 500, raising=False)
+    monkeypatch.setattr(lookup, "_fields", lambda customers: cut.append(fields(customers)) or cut[-1])
+    monkeypatch.setattr(lookup, "resolve_targets", lambda *args: asked.extend(args) or resolve(*args))
+    found = rows(registry.QUERIES["resolve_targets"](Workspace(spark, str(tmp_path))))
+    assert found == rows(analytics.resolve_targets(*asked[:3]))
+    assert {r[1] for r in found} == {"customer", "alert"}
+    assert len(cut) >= 2 and all(df.rdd.getNumPartitions() > 10 for df in cut)
+
+
 def _writers(path):
     """Files of a written batch as (day, number of the task)."""
     return [(f.parent.name, f.name.split("-")[1]) for f in path.rglob("part-*.parquet")]
